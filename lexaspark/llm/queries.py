@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lexaspark.llm import licenses, mixing
+from lexaspark.llm import decontamination, licenses, mixing, token_output
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op8_license_scan": licenses.op8_license_scan,
+    "op9_token_output": token_output.op9_token_output,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE_SQL = {
     "op8_license_scan": licenses.SQL,
+    "op10_decontamination": decontamination.SQL,
 }

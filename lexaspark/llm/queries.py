@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexaspark.llm import decontamination, language_id, licenses, mixing, token_output
+from lexaspark.llm import decontamination, html_extraction, language_id, licenses, mixing, token_output
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_language_id": language_id.op3_language_id,
+    "op7_html_extraction": html_extraction.op7_html_extraction,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_token_output": token_output.op9_token_output,
     "op10_decontamination": decontamination.op10_decontamination,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexaspark.llm import decontamination, html_extraction, language_id, licenses, mixing, token_output
+from lexaspark.llm import decontamination, html_extraction, language_id, licenses, mixing, nearest, token_output
 
 QUERIES = {
+    "op1_nearest_neighbours": nearest.op1_nearest_neighbours,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_language_id": language_id.op3_language_id,
     "op7_html_extraction": html_extraction.op7_html_extraction,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE_SQL = {
+    "op1_nearest_neighbours": nearest.SQL,
     "op8_license_scan": licenses.SQL,
     "op10_decontamination": decontamination.SQL,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexaspark.llm import decontamination, html_extraction, jaccard_join, language_id, licenses, mixing, nearest, sharding, token_output
+from lexaspark.llm import decontamination, html_extraction, jaccard_join, language_id, licenses, lm_scoring, mixing, nearest, sharding, token_output
 
 QUERIES = {
     "op1_nearest_neighbours": nearest.op1_nearest_neighbours,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_language_id": language_id.op3_language_id,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_sharding": sharding.op5_sharding,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_html_extraction": html_extraction.op7_html_extraction,

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexaspark.llm import common as C
 from lexaspark.llm import shingles
@@ -293,6 +294,16 @@ def jaccard_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Data
     return base.select("doc_id", "sid", "n"), C.saved(links, "links")
 
 
+def _set_classes(base: DataFrame, links: DataFrame) -> DataFrame:
+    """sid, class_id, n_links, rows, stands (whether the set stands for its class)
+    of every set with links or copies."""
+    of_set = C.saved(base.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")).join(links, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "set_roots")
+    order = F.struct(F.col("first_id").isNull(), "first_id", "sid")
+    of_root = of_set.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min_by("sid", order).alias("first_sid"))
+    table = of_set.join(of_root, "root").select("sid", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "rows", (F.col("sid") == F.col("first_sid")).alias("stands"))
+    return C.saved(table.where("rows > 1 OR n_links > 0"), "set_classes")
+
+
 def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, n_links,
     n_copies, set_id.
@@ -302,27 +313,37 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links connect. ``n_links`` counts the different sets that the document's own
     is linked to, ``n_copies`` the other documents with an equal set, which need
     no link between them. A text of one to four words is one shingle; a null,
-    empty or wordless text is a class of its own without links, as is a row
-    with a null id there. Repeated rows are copies. An empty table gives no row.
-    Other columns are ignored.
+    empty or wordless text is a class of its own without links or copies. Rows
+    without an id take part; a class of such rows alone has no id. Repeated rows
+    are copies. An empty table gives no row. Other columns are ignored.
     """
     base, links = jaccard_links(docs, similarity)
-    of_set = C.saved(base.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")).join(links, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "set_roots")
-    of_root = of_set.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    table = C.saved(of_set.join(of_root, "root").select("sid", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "rows").where("rows > 1 OR n_links > 0"), "set_classes")
-    out = base.select("doc_id", "sid", "n").join(table, "sid", "left")
+    out = base.join(_set_classes(base, links), "sid", "left")
     return out.select("doc_id", F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("rows") - 1, F.lit(0)).cast("long").alias("n_copies"), F.when(F.col("n") > 0, F.col("sid")).alias("set_id"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their class:
-    the row whose doc_id is the class id, once. Rows with a null id stay where
-    their class has no other."""
-    classes = jaccard_classes(docs, similarity)
-    gone = C.saved(classes.where("doc_id IS NOT NULL AND doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct(), "duplicate_ids")
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti") if gone.count() > BROADCAST_IDS else docs.join(F.broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = classes.where("n_copies > 0").groupBy("doc_id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id"])
+    the one with the class's id, once. Wordless rows stay."""
+    base, links = jaccard_links(docs, similarity)
+    table = _set_classes(base, links).select(F.col("sid").alias("_set"), "class_id", "stands")
+    small = table.count() <= BROADCAST_IDS
+    twice = C.saved(base.where("n > 0").groupBy("doc_id", "sid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("sid").alias("_twice")), "repeated")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            ids = [_set_ids(*shingles.gram_sets(texts[a:b], WORDS)) for a, b in shingles.chunks(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(ids or [np.zeros(0, np.uint64)]).view(np.int64))], [*batch.schema.names, "_sid"])
+
+    rows = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_sid", T.LongType())]))
+    kept = rows.select(F.struct(*[F.col(C.quoted(c)) for c in docs.columns]).alias("_doc"), "_sid").join(F.broadcast(table) if small else table, F.col("_sid") == F.col("_set"), "left")
+    kept = kept.where(F.col("_set").isNull() | (F.col("stands") & F.col("_doc.doc_id").eqNullSafe(F.col("class_id")))).select("_doc", "_sid")
+    if not twice.isEmpty():
+        same = F.expr("_doc.doc_id <=> _id AND _sid = _twice")
+        again = kept.join(twice, same, "left_semi").groupBy(F.col("_doc.doc_id").alias("_id"), "_sid").agg(F.first("_doc").alias("_doc"))
+        kept = kept.join(twice, same, "left_anti").unionByName(again.select("_doc", "_sid"))
+    return kept.select("_doc.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

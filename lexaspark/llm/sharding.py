@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from lexaspark.llm import common as C
 
-SHARDS, ROUNDS = 8, 6
+SHARDS, ROUNDS = 8, 10
 #: A parcel and a large unlinked document are at least this part of a shard, so there are at most SHARDS times as many.
 PARCELS, LARGE = 16, 1000
 #: Movers to a shard are admitted by gain, then by one of so many hash steps.
 STEPS = 64
-#: Shards may be over their share by this part of it while labels move.
-SLACK = 0.0005
+#: Shards may be over their share by these parts of it: while labels move, and in the end.
+ROOM, SLACK = 0.1, 0.0005
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -52,12 +52,18 @@ def propagate(nodes: DataFrame, edges: DataFrame, capacity: float, shards: int =
         wish = wish.where((F.col("gain") > 0) & (F.col("to") != F.col("shard")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0))
         moving = C.saved(wish.select("node", "size", "shard", "to", F.least(F.floor(F.log2("gain")), F.lit(20)).cast("int").alias("class"), F.pmod(F.xxhash64("node"), F.lit(STEPS)).cast("int").alias("step")), "shard_wishes")
         sums = moving.groupBy("shard", "to", "class", "step").agg(F.sum("size").alias("n")).collect()  # bounded by shards, classes and steps
-        admitted = set()
-        for r in sorted(sums, key=lambda r: (-r["class"], r["step"], r["to"], r["shard"])):
-            if loads.get(r["to"], 0) + r["n"] <= capacity * (1 + SLACK):
-                loads[r["to"]] = loads.get(r["to"], 0) + r["n"]
-                loads[r["shard"]] -= r["n"]
-                admitted.add((r["shard"], r["to"], r["class"], r["step"]))
+        admitted, waiting, some = set(), sorted(sums, key=lambda r: (-r["class"], r["step"], r["to"], r["shard"])), True
+        while some:  # what leaves a shard makes room for others to come: shards exchange nodes
+            some, rest = False, []
+            for r in waiting:
+                if loads.get(r["to"], 0) + r["n"] <= capacity * (1 + ROOM):
+                    loads[r["to"]] = loads.get(r["to"], 0) + r["n"]
+                    loads[r["shard"]] -= r["n"]
+                    admitted.add((r["shard"], r["to"], r["class"], r["step"]))
+                    some = True
+                else:
+                    rest.append(r)
+            waiting = rest
         if not admitted:
             break
         allowed = F.broadcast(spark.createDataFrame(sorted(admitted), "shard int, to int, class int, step int"))  # bounded likewise
@@ -105,7 +111,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, links: DataFrame | No
     for r in linked.groupBy("shard").agg(F.sum("size").alias("n")).collect():  # a row for each shard
         loads[r["shard"]] = r["n"]
     over = {s for s in range(shards) if loads[s] > capacity * (1 + SLACK)}
-    if over:  # the random start can exceed a share; such shards give back by hash step what is too much
+    if over:  # such shards give back by hash step what is too much
         steps = linked.where(F.col("shard").isin(sorted(over))).groupBy("shard", F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1024)).cast("int").alias("step")).agg(F.sum("size").alias("n")).collect()
         bound = {}
         for r in sorted(steps, key=lambda r: (r["shard"], r["step"])):

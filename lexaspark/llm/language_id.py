@@ -30,7 +30,7 @@ TRAINING_ROWS, LANGUAGES, TRAINING_WORDS = 600, 64, 60_000
 #: Rejection: a text's best cross-entropy may exceed the training mean of its language by so many deviations (of texts of
 #: its length), and by so many bits a letter in any case, so that addresses, numbers or a second language don't matter.
 REJECT_DEVIATIONS, REJECT_BITS = 12.0, 2.0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 UND = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)

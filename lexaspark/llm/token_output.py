@@ -37,7 +37,7 @@ LANES, BLOCK, CHECKPOINT = 512, 1 << 17, 128
 LOW = np.uint64(1 << 31)
 MAGIC = b"LXR1"
 #: Cached words and space-separated chunks in a Python worker; a full cache starts anew.
-CACHED_WORDS, CACHED_CHUNKS = 1_000_000, 250_000
+CACHED_WORDS, CACHED_CHUNKS = 500_000, 150_000
 
 
 # --- tokens

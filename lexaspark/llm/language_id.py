@@ -227,7 +227,8 @@ def train(rows: DataFrame) -> LanguageModels:
     chosen = F.lit(False)
     for lang, h in bound.items():
         chosen = chosen | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= h))
-    sample = C.saved(usable.where(chosen).select("doc_id", "lang", "text"), "language_sample")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # repeated ids share a hash; the bound holds for them too
+    sample = C.saved(usable.where(chosen).select("doc_id", "lang", "text").withColumn("_k", first).where(F.col("_k") <= TRAINING_ROWS).drop("_k"), "language_sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()

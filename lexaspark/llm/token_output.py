@@ -43,6 +43,18 @@ CACHED_WORDS, CACHED_CHUNKS = 500_000, 150_000
 # --- tokens
 
 
+class _Chunks(dict):
+    """Ids of space-separated chunks; a missing one is encoded and kept."""
+
+    def __init__(self, encode):
+        super().__init__({"": b""})
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.encode(chunk)
+        return ids
+
+
 class CachedTokenizer:
     """Ids of whole texts, equal to ``Tokenizer.encode(add_special_tokens=False)``.
 
@@ -62,45 +74,29 @@ class CachedTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.words: dict[str, bytes] = {"": b""}
-        self.chunks: dict[str, bytes] = {"": b""}
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(kept)]
         self.bytemap = {b: b for b in kept} | {b: 256 + i for i, b in enumerate(other)}
+        self.words, self.chunks = _Chunks(self._word), _Chunks(self._chunk)
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            known = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytemap)
-            ids = array.array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
-            self.words[word] = ids
-        return ids
+        known = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytemap)
+        return array.array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
 
-    def _new(self, chunks: set[str]) -> None:
-        if len(self.words) > CACHED_WORDS:
-            self.words = {"": b""}
-        rest = []
-        for c in chunks:
-            m = self.PLAIN.fullmatch(c)
-            if m:
-                self.chunks[c] = self._word(m[1].lower()) + (self._word(m[2]) if m[2] else b"")
-            else:
-                rest.append(c)
-        for c, e in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False)) if rest else ():
-            self.chunks[c] = array.array("I", e.ids).tobytes()
+    def _chunk(self, chunk: str) -> bytes:
+        m = self.PLAIN.fullmatch(chunk)
+        if m:
+            return self.words[m[1].lower()] + self.words[m[2]]
+        return array.array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for s in split:
-            new.update(s)
+        if len(self.words) > CACHED_WORDS:
+            self.words = _Chunks(self._word)
         if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks = {"": b""}
-        new.difference_update(self.chunks)
-        self._new(new)
-        known = self.chunks
-        return [b"".join([known[c] for c in s]) for s in split]
+            self.chunks = _Chunks(self._chunk)
+        ids = self.chunks.__getitem__
+        return [b"".join(map(ids, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}

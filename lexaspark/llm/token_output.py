@@ -61,9 +61,13 @@ class CachedTokenizer:
     White space always splits and is dropped by the file's own rules, so ids of
     a text are those of its chunks between spaces and line ends. A chunk of
     Latin letters with stops behind it is a word and a run of stops; the model
-    of the tokenizer gives the word's ids once. All else is encoded whole.
+    of the tokenizer gives the word's ids once. All else is encoded whole. A text
+    of nothing but such words and single stops is lower-cased and split at once.
     """
 
+    LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)])).encode("latin-1")
+    STOPS = b".,;:!?"
+    ONE_STOP = bytes(46 if b in b".,;:!?" else b for b in range(256))
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
     def __init__(self, path: str):
@@ -95,8 +99,21 @@ class CachedTokenizer:
             self.words = _Chunks(self._word)
         if len(self.chunks) > CACHED_CHUNKS:
             self.chunks = _Chunks(self._chunk)
-        ids = self.chunks.__getitem__
-        return [b"".join(map(ids, t.replace("\n", " ").split(" "))) for t in texts]
+        words, chunks = self.words.__getitem__, self.chunks.__getitem__
+        return [b"".join(map(words, self._split(t))) if self._simple(t) else b"".join(map(chunks, t.replace("\n", " ").split(" "))) for t in texts]
+
+    def _simple(self, text: str) -> bool:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return not raw.translate(None, self.LETTERS + self.STOPS + b" \n") and b".." not in raw.translate(self.ONE_STOP)
+
+    def _split(self, text: str) -> list[str]:
+        text = text.lower().replace("\n", " ")
+        for stop in ".,;:!?":
+            text = text.replace(stop, f" {stop} ")
+        return text.split(" ")
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}

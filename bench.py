@@ -42,6 +42,7 @@ def main() -> None:
         began = time.time()
         run()
         seconds[name] = round(time.time() - began, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
 
     timed("index_build", lambda: catalog.index_of(spark, sf_dir))
     for name in HEADLINE:

@@ -39,9 +39,15 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     return cases.select(F.col("query_id").cast("long").alias("query_id"), "q.query", F.coalesce("q.relevant", F.array().cast("array<string>")).alias("relevant"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, where their files are too few to be read by all."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat corpus: no titles and no links."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select("doc_id", F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<string>").alias("links"))
 
 
@@ -56,6 +62,6 @@ def page_body(html: Column) -> Column:
 
 def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fielded and linked corpus; links are the relative hrefs, without the slash."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
     html = F.coalesce("html", F.lit(""))
     return pages.select(F.col("page_id").alias("doc_id"), page_title(html).alias("title"), page_body(html).alias("text"), F.regexp_extract_all(html, F.lit('href="/([^"/]*)"'), F.lit(1)).alias("links"))

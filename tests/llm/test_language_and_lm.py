@@ -117,6 +117,20 @@ def test_joined_targets_agree(spark, documents, monkeypatch):
     assert [x[:3] for x in a] == [x[:3] for x in b] and np.allclose([x[5] for x in a], [x[5] for x in b])
 
 
+def test_rare_bigrams_are_kept_in_a_large_corpus(spark):
+    """A word and a bigram that occur twice in over two million tokens; many blocks and buckets."""
+    filler = [(i, " ".join(f"w{j}" for j in range(1000))) for i in range(2200)]
+    rows = [*filler, (5000, "rare pair"), (5001, "rare pair"), (5002, "pair rare")]
+    ids = spark.createDataFrame([(5000,)], "doc_id long")
+    got = {r["doc_id"]: r for r in lm_scoring.lm_scores(docs_of(spark, rows, extra=False).repartition(3), ids).where("doc_id >= 5000").collect()}
+    v, total, starts = 1002, 2_200_006, 2203
+    word = lambda n, of: (n + 0.5) / (of + 0.5 * (v + 2))
+    first = 1.25 / starts + 0.75 * 3 / starts * word(3, total)
+    second = 1.25 / 2 + 0.75 / 2 * word(3, total)  # "rare" goes on twice, always with "pair"
+    assert got[5000]["background_bits"] == got[5001]["background_bits"] == pytest.approx(-(math.log2(first) + math.log2(second)) / 2)
+    assert got[5002]["background_bits"] > got[5001]["background_bits"] and got[5001]["score"] < got[5002]["score"]
+
+
 def test_odd_lm_rows(spark, odd, nothing):
     ids = odd.select("doc_id")
     got = lm_scoring.lm_scores(odd, ids).collect()

@@ -4,9 +4,11 @@ Every page is parsed to a tree with HTML's implied end tags. Element subtrees
 are hashed over tag, class, id and text; Spark counts, for each host, the pages
 that hold a hash. Subtrees that recur on many pages of a host are its template
 and are deleted, besides elements that can't be article text whatever the host
-(scripts, forms, navigation and the like). The article, its ancestors and its
-text blocks are never deleted for recurring: pages of one host may hold one
-article, and articles may share passages.
+(scripts, forms, navigation and the like). Of what is left of the whole page,
+article and main elements are taken alone if one of them has as many words as
+all around them. They, their ancestors and their text blocks are never deleted
+for recurring: pages of one host may hold one article, and articles may share
+passages.
 """
 
 from __future__ import annotations
@@ -126,19 +128,45 @@ def boilerplate(node: Node, inside: bool) -> bool:
     return bool(hidden) or a.get("role", "").lower() in ROLES or (node.tag not in ("html", "body", "article", "main") and bool(_names(node) & NAMES))
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The outermost articles, else main elements, else the whole page."""
-    for wanted in (lambda x: x.tag == "article" or x.attrs.get("role", "").lower() == "article", lambda x: x.tag == "main" or x.attrs.get("role", "").lower() == "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if wanted(node):
-                found.append(node)
-            elif not boilerplate(node, False):
-                todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-        if found:
-            return found
-    return [root]
+#: What may be the main text, the likeliest first.
+MAINS = (lambda x: x.tag == "article" or x.attrs.get("role", "").lower() == "article", lambda x: x.tag == "main" or x.attrs.get("role", "").lower() == "main")
+
+
+def outermost(root: Node, wanted) -> list[Node]:
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if wanted(node):
+            found.append(node)
+        elif not boilerplate(node, False):
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return found
+
+
+def below(nodes: list[Node]) -> set[int]:
+    out, todo = set(), list(nodes)
+    while todo:
+        node = todo.pop()
+        out.add(id(node))
+        todo += [c for c in node.children if isinstance(c, Node)]
+    return out
+
+
+def words_in(text: str) -> int:
+    return len(text.split())
+
+
+def main_text(root: Node, groups: list[list[Node]], recurs) -> str:
+    """What stays of the articles, if one of them has as many words as all that stays
+    around them; else the same for main elements; else what stays of the page."""
+    inside = below([n for g in groups for n in g])
+    whole = _blocks([root], recurs, inside)
+    for found in groups:
+        texts = [t for n in found if (t := _blocks([n], recurs, inside))]
+        sizes = [words_in(t) for t in texts]
+        if sizes and 2 * max(sizes) >= max(sizes) + words_in(whole) - sum(sizes):
+            return "\n\n".join(texts)
+    return whole
 
 
 def hashes(root: Node) -> dict[int, int]:
@@ -163,11 +191,11 @@ def hashes(root: Node) -> dict[int, int]:
 def extract(source: str | None, template: frozenset | set = frozenset()) -> str:
     """The main text: blocks in page order, two line ends between them."""
     root = parse(source or "")
-    main = main_nodes(root)
-    keep = set(map(id, _ancestors(root, main)))
+    groups = [outermost(root, wanted) for wanted in MAINS]
+    keep = set(map(id, _ancestors(root, [n for g in groups for n in g])))
     known = hashes(root) if template else {}
-    text = _blocks(main, lambda node: known.get(id(node)) in template and id(node) not in keep)
-    return text if text or not template else _blocks(main, lambda node: False)
+    text = main_text(root, groups, lambda node: known.get(id(node)) in template and id(node) not in keep)
+    return text if text or not template else main_text(root, groups, lambda node: False)
 
 
 def _ancestors(root: Node, wanted: list[Node]) -> list[Node]:
@@ -186,7 +214,7 @@ def _ancestors(root: Node, wanted: list[Node]) -> list[Node]:
     return out
 
 
-def _blocks(main: list[Node], recurs) -> str:
+def _blocks(main: list[Node], recurs, inside: set[int]) -> str:
     blocks: list[list[str]] = [[]]
     for top in main:
         todo: list = [top]
@@ -196,7 +224,7 @@ def _blocks(main: list[Node], recurs) -> str:
                 blocks.append([])
             elif isinstance(x, str):
                 blocks[-1].append(x)
-            elif x is not top and (boilerplate(x, top.tag != "html") or recurs(x)) or (x is top and x.tag in NEVER):
+            elif x is not top and (boilerplate(x, id(x) in inside) or recurs(x)) or (x is top and x.tag in NEVER):
                 continue
             elif x.tag == "br":
                 blocks[-1].append(" ")

@@ -56,6 +56,14 @@ def test_site_templates_go(spark, monkeypatch, limit):
     assert html_extraction.extract_pages(pages_of(spark, [])).count() == 0
 
 
+def test_articles_are_not_the_text_if_more_stands_around_them():
+    body = " ".join(f"word{i}" for i in range(40))
+    teasers = "".join(f"<article><header><h2>Teaser {i}</h2></header><p>{'more words ' * 12}</p></article>" for i in range(5))
+    got = html_extraction.extract(f"<nav>n</nav><div class=body><p>{body}</p></div>{teasers}<footer>f</footer>")
+    assert got.startswith(body + "\n\nTeaser 0\n\nmore words") and "Teaser 4" in got
+    assert html_extraction.extract(f"<p>around</p><article><p>{body}</p></article>{'<article><p>x y</p></article>' * 2}") == body + "\n\nx y" * 2
+
+
 # --- SQL oracles on odd rows
 
 

@@ -6,9 +6,9 @@ that hold a hash. Subtrees that recur on many pages of a host are its template
 and are deleted, besides elements that can't be article text whatever the host
 (scripts, forms, navigation and the like). Of what is left of the whole page,
 article and main elements are taken alone if one of them has as many words as
-all around them. They, their ancestors and their text blocks are never deleted
-for recurring: pages of one host may hold one article, and articles may share
-passages.
+all around them. Pages of one main text count as one, since a host may hold an
+article many times. The articles, their ancestors, what holds most of their
+words, and their text blocks are never deleted for recurring.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +24,9 @@ from pyspark.sql import functions as F
 
 from lexaspark.llm import common as C
 
-#: A subtree is a template's if so many pages of the host hold it, and this share of them.
-MIN_PAGES, MIN_SHARE = 3, 0.005
+#: A subtree is a template's if so many different pages of the host hold it, and this share of
+#: them, or so many whatever the share.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 3, 0.02, 50
 #: Template hashes that are broadcast at most; beyond, they are joined by host.
 BROADCAST_HASHES = 1_000_000
 
@@ -192,10 +192,35 @@ def extract(source: str | None, template: frozenset | set = frozenset()) -> str:
     """The main text: blocks in page order, two line ends between them."""
     root = parse(source or "")
     groups = [outermost(root, wanted) for wanted in MAINS]
-    keep = set(map(id, _ancestors(root, [n for g in groups for n in g])))
-    known = hashes(root) if template else {}
-    text = main_text(root, groups, lambda node: known.get(id(node)) in template and id(node) not in keep)
-    return text if text or not template else main_text(root, groups, lambda node: False)
+    if not template:
+        return main_text(root, groups, lambda node: False)
+    tops = [n for g in groups for n in g]
+    keep = set(map(id, _ancestors(root, tops))) | bulk(tops)
+    known = hashes(root)
+    return main_text(root, groups, lambda node: known.get(id(node)) in template and id(node) not in keep) or main_text(root, groups, lambda node: False)
+
+
+def bulk(tops: list[Node]) -> set[int]:
+    """The nodes that hold more than half of the words of one of the elements."""
+    out: set[int] = set()
+    for top in tops:
+        order, todo = [], [top]
+        while todo:
+            node = todo.pop()
+            if node is top or not boilerplate(node, True):
+                order.append(node)
+                todo += [c for c in node.children if isinstance(c, Node)]
+        words: dict[int, int] = {}
+        for node in reversed(order):
+            words[id(node)] = sum(words.get(id(c), 0) if isinstance(c, Node) else words_in(c) for c in node.children)
+        out |= {k for k, n in words.items() if 2 * n > words[id(top)]}
+    return out
+
+
+def content_hash(root: Node) -> int:
+    """Of the main text, before templates are known."""
+    text = main_text(root, [outermost(root, wanted) for wanted in MAINS], lambda node: False)
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _ancestors(root: Node, wanted: list[Node]) -> list[Node]:
@@ -245,36 +270,40 @@ def host_of(url: str | None) -> str:
 def site_templates(pages: DataFrame) -> DataFrame:
     """host, hash of every subtree that recurs on the host's pages.
 
-    Each task counts the distinct subtrees of its pages first."""
+    Pages of a host with one main text count as one. A task passes on each
+    (host, subtree, main text) once; a page itself has the subtree null."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["host", "hash", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array([k[2] for k in seen], pa.int64())], ["host", "hash", "content"])
 
         for batch in batches:
             for url, source in zip(batch["url"].to_pylist(), batch["html"].to_pylist()):
-                host = host_of(url)
-                found[host, None] += 1
-                found.update({(host, h) for h in hashes(parse(source or "")).values()})
-                if len(found) > 500_000:
+                host, root = host_of(url), parse(source or "")
+                content = content_hash(root)
+                seen.add((host, None, content))
+                seen.update((host, h, content) for h in hashes(root).values())
+                if len(seen) > 200_000:
                     yield out()
-                    found.clear()
+                    seen.clear()
         yield out()
 
-    counts = C.saved(pages.select("url", "html").mapInArrow(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= MIN_PAGES)), "page_subtrees")
+    each = pages.select("url", "html").mapInArrow(found, "host string, hash long, content long").distinct()
+    counts = C.saved(each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= MIN_PAGES)), "page_subtrees")
     size = counts.where(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
-    return counts.where(F.col("hash").isNotNull()).join(size, "host").where(F.col("n") >= F.col("pages") * MIN_SHARE).select("host", "hash")
+    share = F.least(F.col("pages") * MIN_SHARE, F.lit(float(MANY_PAGES)))
+    return counts.where(F.col("hash").isNotNull()).join(size, "host").where(F.col("n") >= share).select("host", "hash")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Null, empty and text-less pages give an empty text. A page whose url is
-    null or has no host is of the host ''. Repeated rows each get a row and
-    count as pages; pages that are copies keep their article, which is never
-    deleted for recurring. No page gives no row; other columns are ignored.
+    null or has no host is of the host ''. Repeated rows each get a row; they
+    and other pages of the same main text count as one page of the host. No
+    page gives no row; other columns are ignored.
     """
     spark = pages.sparkSession
     templates = C.saved(site_templates(pages), "page_templates")
@@ -297,7 +326,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
         return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 
-    by_host = templates.groupBy("host").agg(F.collect_set("hash").alias("hashes"))  # a page's subtrees / MIN_SHARE at most
+    by_host = templates.groupBy("host").agg(F.collect_set("hash").alias("hashes"))  # a page's subtrees / MIN_SHARE at most, on hosts of more than MANY_PAGES / MIN_SHARE pages the subtrees on MANY_PAGES
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -64,6 +64,24 @@ def test_articles_are_not_the_text_if_more_stands_around_them():
     assert html_extraction.extract(f"<p>around</p><article><p>{body}</p></article>{'<article><p>x y</p></article>' * 2}") == body + "\n\nx y" * 2
 
 
+def test_copies_keep_their_text(spark):
+    body = f"<div class=body>{'long text of it ' * 20}</div>"
+    rows = [(i, f"http://c.example/{i}", f"<article><h1>T</h1>{body}</article>") for i in range(4)]
+    rows += [(10 + i, f"http://d.example/{i}", f"<div><h1>T</h1>{body}</div>") for i in range(4)]
+    rows += [(20 + i, f"http://e.example/{i}", f"<p>count {i}</p><article><h1>T{i}</h1>{body}</article>") for i in range(4)]
+    want = " ".join(("long text of it " * 20).split())
+    for r in html_extraction.extract_pages(pages_of(spark, rows)).collect():
+        assert r["text"] == f"T{r['page_id'] - 20 if r['page_id'] >= 20 else ''}\n\n{want}"
+
+
+def test_few_pages_of_many_are_no_template(spark):
+    box = "<div>Here is a box</div>"
+    rows = [(i, f"http://f.example/{i}", f"<p>Text {i}</p>{box if i < 4 else ''}") for i in range(300)]
+    rows += [(1000 + i, f"http://g.example/{i}", f"<p>Text {i}</p>{box if i < 60 else ''}") for i in range(4000)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(pages_of(spark, rows)).collect()}
+    assert got[0] == "Text 0\n\nHere is a box" and got[1000] == "Text 0"
+
+
 # --- SQL oracles on odd rows
 
 

@@ -8,7 +8,8 @@ and are deleted, besides elements that can't be article text whatever the host
 article and main elements are taken alone if one of them has as many words as
 all around them. Pages of one main text count as one, since a host may hold an
 article many times. The articles, their ancestors, what holds most of their
-words, and their text blocks are never deleted for recurring.
+words, and their text blocks are never deleted for recurring; elsewhere, only a
+text block or inline element that stands beside text of the page's own.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ NEVER = frozenset("script style noscript template head title meta link svg math
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice banner popup modal newsletter subscribe comment comments disqus share sharing social related recommended widget pagination pager".split())
 PROSE = frozenset("article main body html p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th caption figure figcaption".split())
+GROUPS = frozenset("address article aside center details dir div dl fieldset figure footer form header hgroup main menu nav ol search section table ul".split())
 CLOSES_P = BLOCKS - frozenset("body html caption li dd dt legend summary tbody td tfoot th thead tr".split())
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 
@@ -170,7 +172,7 @@ def main_text(root: Node, groups: list[list[Node]], recurs) -> str:
 
 
 def hashes(root: Node) -> dict[int, int]:
-    """id(node) -> hash of the subtree, for elements that may be a template's."""
+    """id(node) -> hash of the subtree, for every element that holds something."""
     out: dict[int, int] = {}
     order, todo = [], [root]
     while todo:
@@ -183,7 +185,7 @@ def hashes(root: Node) -> dict[int, int]:
         for c in node.children:
             h.update(raw[id(c)] if isinstance(c, Node) else " ".join(c.split()).encode("utf-8", "surrogatepass"))
         raw[id(node)] = h.digest()
-        if node.tag not in PROSE and node.tag not in VOID and node.tag in BLOCKS:
+        if node.children:
             out[id(node)] = int.from_bytes(raw[id(node)], "little", signed=True)
     return out
 
@@ -195,9 +197,41 @@ def extract(source: str | None, template: frozenset | set = frozenset()) -> str:
     if not template:
         return main_text(root, groups, lambda node: False)
     tops = [n for g in groups for n in g]
-    keep = set(map(id, _ancestors(root, tops))) | bulk(tops)
     known = hashes(root)
-    return main_text(root, groups, lambda node: known.get(id(node)) in template and id(node) not in keep) or main_text(root, groups, lambda node: False)
+    recurring = {k for k, h in known.items() if h in template}
+    keep = set(map(id, _ancestors(root, tops))) | bulk(tops) | prose(tops) | beside_own(root, recurring)
+    return main_text(root, groups, lambda node: id(node) in recurring and id(node) not in keep) or main_text(root, groups, lambda node: False)
+
+
+def prose(tops: list[Node]) -> set[int]:
+    """Text blocks and inline elements of the articles."""
+    out, todo = set(), list(tops)
+    while todo:
+        node = todo.pop()
+        if node.tag in PROSE or node.tag not in BLOCKS:
+            out.add(id(node))
+        todo += [c for c in node.children if isinstance(c, Node)]
+    return out
+
+
+def beside_own(root: Node, recurring: set[int]) -> set[int]:
+    """Recurring pieces of text (no groups of blocks) beside text of the page's
+    own, within one element: a passage of it, or a word that is set apart."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
+    own: set[int] = set()
+    out: set[int] = set()
+    for node in reversed(order):
+        pieces = [c for c in node.children if isinstance(c, Node) and c.tag not in GROUPS and c.tag not in NEVER]
+        text = id(node) not in recurring and any(isinstance(c, str) and not c.isspace() for c in node.children)
+        if text or any(id(c) in own for c in pieces):
+            out.update(id(c) for c in pieces if id(c) in recurring)
+        if text or (id(node) not in recurring and any(isinstance(c, Node) and id(c) in own for c in node.children)):
+            own.add(id(node))
+    return out
 
 
 def bulk(tops: list[Node]) -> set[int]:

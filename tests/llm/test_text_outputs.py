@@ -82,6 +82,13 @@ def test_few_pages_of_many_are_no_template(spark):
     assert got[0] == "Text 0\n\nHere is a box" and got[1000] == "Text 0"
 
 
+def test_templates_of_any_element_go(spark):
+    menu = "<ul><li><a href=/>Home</a><li>About</ul><table><tr><td>Layout</td></tr></table>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{menu}<div><p>Text {i} of the <b>United</b> Nations</p><p>Shared passage.</p></div><p>All rights reserved</p></body>") for i in range(5)]
+    for r in html_extraction.extract_pages(pages_of(spark, rows)).collect():
+        assert r["text"] == f"Text {r['page_id']} of the United Nations\n\nShared passage."
+
+
 # --- SQL oracles on odd rows
 
 

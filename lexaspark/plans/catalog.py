@@ -261,7 +261,7 @@ def q_compare_rankers(spark, sf):
 
 
 def q_bulk_ndjson(spark, sf):
-    return export.bulk_ndjson(corpus_of(spark, sf).where(~F.col("text").rlike(r"[\x00-\x09\x0b-\x1f\x7f-\x9f  ]"))).select("doc_id", "action", F.length("source").alias("source_len"))
+    return export.bulk_ndjson(corpus_of(spark, sf)).select("doc_id", "action", F.length("source").alias("source_len"))
 
 
 def q_article_url(spark, sf):

@@ -9,6 +9,7 @@ from lexaspark.functions.analysis import AnalyzerConfig
 from lexaspark.operators import index as I
 from lexaspark.operators import links, metrics, ranking, snippets
 from lexaspark.sources import corpus, export
+from lexaspark.plans import catalog
 from lexaspark.streaming import incremental
 
 ARTICLES = [(0, "Photosynthesis", "photosynthesis is a process used by plants"), (1, "Plant", "a plant is a living thing that uses photosynthesis"), (2, "Animal", "an animal is a living thing that cannot do photosynthesis")]
@@ -140,3 +141,13 @@ def test_stream(spark, tmp_path):
         assert sorted(map(tuple, ranking.search(index, q).collect())) == sorted(map(tuple, ranking.search(whole, q).collect()))
     assert incremental.unseen(rows, index).count() == 0
     assert not math.isnan(index.corpus_stats.first()["avgdl"])
+
+
+def test_bulk_export_has_every_document(spark, tmp_path):
+    texts = ["plain", "tab\there", "a\r\nb", "\x01\x0b\x7f\x85", "line and ", 'q"\\', None, "\x00"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["source_len"] for r in catalog.QUERIES["bulk_ndjson"](spark, str(tmp_path)).collect()}
+    sources = {r["doc_id"]: r["source"] for r in export.bulk_ndjson(catalog.corpus_of(spark, str(tmp_path))).collect()}
+    assert got == {i: len(s) for i, s in sources.items()} and len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert json.loads(sources[i]) == {"text": text or "", "title": ""} and not set("\n\r") & set(sources[i])

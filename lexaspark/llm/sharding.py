@@ -2,9 +2,11 @@
 
 Documents are nodes; equal texts, and any given links, are edges. Equal texts
 are contracted first: a group is one node, or, where it is larger than a
-parcel, as many nodes as it needs, tied in a ring. Iterative Spark joins then
-move linked nodes to the shard where most of their neighbours are, as far as
-the shards' byte quotas allow. Nodes without links fill what is left.
+parcel, as many nodes as it needs, which begin in one shard and vote for each
+other by bytes; only a group that fits whole in no shard's quota is cut.
+Iterative Spark joins then move linked nodes to the shard where most of their
+neighbours are, as far as the quotas allow. Nodes without links fill what is
+left, by size or by hash.
 
 Law: ``bytes``. Sizes of shards are equal to within a thousandth of a shard,
 or one document where that is larger.
@@ -80,9 +82,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, links: DataFrame | No
     id counts for nothing. ``slot`` counts from 0 in each shard, by doc_id, then
     hash; equal rows are interchangeable. Null texts have size 1 and are the
     empty text. Repeated rows are documents of their own, in one group. Other
-    columns are ignored; an empty table gives no row. A group larger than a
-    parcel is cut by a hash of the id, and equal ids by nothing, so rows of one
-    id and text stay together.
+    columns are ignored; an empty table gives no row. A group that
+    fits in no shard is cut by a hash of the id, and equal ids by nothing, so
+    rows of one id and text stay together.
     """
     spark = docs.sparkSession
     base = C.saved(document_sizes(docs), "shard_sizes")
@@ -97,22 +99,25 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, links: DataFrame | No
     base = C.saved(base.join(split, key, "left").withColumn("part", part).withColumn("parcels", F.coalesce("parcels", F.lit(1))).withColumn("node", F.xxhash64(*key, "part")), "shard_nodes")
     nodes = C.saved(base.groupBy("node").agg(F.sum("size").alias("size"), F.min(F.struct(*key)).alias("group"), F.min("part").alias("part"), F.min("parcels").alias("parcels")), "shard_parcels")
 
-    rings = nodes.where("parcels > 1").select("node", F.xxhash64("group.text_hash", "group.text_crc32", "group.size", F.pmod(F.col("part") + 1, F.col("parcels"))).alias("next"), "size")
-    edges = rings.where("node != next").select(F.col("node").alias("a"), F.col("next").alias("b"), F.lit(1).alias("weight"))
+    # Parcels of one group in one shard vote for each other by bytes, over the first of them as a hub, which votes for itself.
+    cut = nodes.where("parcels > 1").select("node", "size", F.struct(F.col("group.text_hash"), F.col("group.text_crc32"), F.col("group.size")).alias("group"), "part").collect()
+    begun = spark.createDataFrame(_packed(cut, capacity, shards), "node long, begin int, hub long")  # shards * PARCELS * 2 at most
+    edges = nodes.select("node", "size").join(F.broadcast(begun), "node").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("weight"))
     if links is not None:
         at = base.select("doc_id", "node")
         given = links.select("a", "b").join(at.select(F.col("doc_id").alias("a"), F.col("node").alias("na")), "a").join(at.select(F.col("doc_id").alias("b"), F.col("node").alias("nb")), "b")
         edges = edges.unionByName(given.where("na != nb").select(F.col("na").alias("a"), F.col("nb").alias("b"), F.lit(1).alias("weight")))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").cast("long").alias("weight"))
     both = C.saved(both, "shard_edges")
-    linked = nodes.join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("node", "size", F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(shards)).cast("int").alias("shard"))
+    linked = nodes.join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi").join(F.broadcast(begun), "node", "left").select("node", "size", F.coalesce("begin", F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(shards)).cast("int")).alias("shard"))
     linked = propagate(C.saved(linked, "shard_labels"), both, capacity, shards)
     loads = [0] * shards
     for r in linked.groupBy("shard").agg(F.sum("size").alias("n")).collect():  # a row for each shard
         loads[r["shard"]] = r["n"]
     over = {s for s in range(shards) if loads[s] > capacity * (1 + SLACK)}
     if over:  # such shards give back by hash step what is too much
-        steps = linked.where(F.col("shard").isin(sorted(over))).groupBy("shard", F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1024)).cast("int").alias("step")).agg(F.sum("size").alias("n")).collect()
+        free = linked.join(F.broadcast(begun.select("node")), "node", "left_anti")
+        steps = free.where(F.col("shard").isin(sorted(over))).groupBy("shard", F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1024)).cast("int").alias("step")).agg(F.sum("size").alias("n")).collect()
         bound = {}
         for r in sorted(steps, key=lambda r: (r["shard"], r["step"])):
             if loads[r["shard"]] > capacity * (1 + SLACK):
@@ -121,7 +126,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, links: DataFrame | No
         out = F.lit(False)
         for s, step in bound.items():
             out = out | ((F.col("shard") == s) & (F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1024)) <= step))
-        linked = C.saved(linked.where(~out), "shard_labels")
+        linked = C.saved(free.where(~out).unionByName(linked.join(F.broadcast(begun.select("node")), "node", "left_semi")), "shard_labels")
 
     # The rest: large nodes by size to the emptiest shard, at most shards * LARGE of them; small ones in hash order up to each shard's room.
     rest = C.saved(nodes.join(linked.select("node"), "node", "left_anti").select("node", "size"), "shard_rest")
@@ -149,6 +154,28 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, links: DataFrame | No
     return numbered.join(first, "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_index") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _packed(parcels: list, capacity: float, shards: int) -> list[tuple[int, int, int]]:
+    """(node, shard, hub) of the parcels: the largest groups first, each to the
+    fullest shard that takes it whole; only what fits in none is cut, over as few as do."""
+    groups: dict = {}
+    for r in sorted(parcels, key=lambda r: r["part"]):
+        groups.setdefault(tuple(r["group"]), []).append(r)
+    loads, out = [0] * shards, []
+    for key, parts in sorted(groups.items(), key=lambda g: (-sum(r["size"] for r in g[1]), g[0])):
+        left = list(parts)
+        while left:
+            whole = sum(r["size"] for r in left)
+            fits = [s for s in range(shards) if loads[s] + whole <= capacity]
+            s = max(fits, key=lambda s: (loads[s], -s)) if fits else min(range(shards), key=lambda s: (loads[s], s))
+            piece = [left.pop(0)]
+            loads[s] += piece[0]["size"]
+            while left and loads[s] + left[0]["size"] <= capacity:
+                loads[s] += left[0]["size"]
+                piece.append(left.pop(0))
+            out += [(r["node"], s, piece[0]["node"]) for r in piece]
+    return out
+
+
 def _water_level(loads: list[int], more: float) -> float:
     """The common height after ``more`` is poured onto the loads."""
     low = sorted(loads)

@@ -147,3 +147,17 @@ def test_odd_shards(spark, odd, nothing):
     assert len(rows) == odd.count() and {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {1}
     assert all(0 <= r["shard"] < 8 for r in rows)
     assert sharding.shard_documents(nothing).count() == 0
+
+
+def test_groups_that_fit_in_a_shard_stay_whole(spark):
+    """Of 800 documents on 8 shards, groups of 95, 60, 50 and 30 copies, and one of 130 that must be cut."""
+    rows, sizes = [], {"a": 95, "b": 60, "c": 50, "d": 30, "e": 130}
+    for name, n in sizes.items():
+        rows += [(len(rows) + i, name * 99) for i in range(n)]
+    rows += [(i, f"{i:099d}") for i in range(len(rows), 800)]
+    text = dict(rows)
+    got = sharding.shard_documents(docs_of(spark, rows)).collect()
+    homes = {name: {r["shard"] for r in got if text[r["doc_id"]][0] == name} for name in sizes}
+    assert [len(homes[n]) for n in sizes] == [1, 1, 1, 1, 2]
+    loads = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert len(got) == 800 and max(loads) - min(loads) <= 200

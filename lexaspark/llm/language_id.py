@@ -4,9 +4,10 @@ Each language has a model of the letters of its words (lower-cased, with a
 start and an end sign). N-grams are hashed to 64 bits and stored in sorted
 arrays with their probabilities, contexts with their back-off weights. A text
 gets, for each language, the cross-entropy per letter over all of its words;
-the lowest wins. A temperature fitted on training rows turns the difference
-into a score, and a text whose best cross-entropy is far above what training
-rows of that language show can be rejected.
+the lowest wins. Training rows that the models have not counted calibrate them:
+a temperature turns differences into a score, and the tail of what such rows
+show gives each language the cross-entropy above which a text is rejected, for
+a stated share of false rejections.
 """
 
 from __future__ import annotations
@@ -18,24 +19,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaspark.llm import common as C
 
 ORDER = 4
-#: Rows of each language that the models are fitted on (lowest hash of the id first), languages (most rows first),
-#: and, of each language, the words (most frequent first). They bound what the driver gets.
-TRAINING_ROWS, LANGUAGES, TRAINING_WORDS = 600, 64, 60_000
-#: Rejection: a text's best cross-entropy may exceed the training mean of its language by so many deviations (of texts of
-#: its length), and by so many bits a letter in any case, so that addresses, numbers or a second language don't matter.
-REJECT_DEVIATIONS, REJECT_BITS = 12.0, 2.0
-CACHED_WORDS = 250_000
+#: Rows of each language that are used for fitting (lowest hash of the id first); every lang value has a model and all
+#: words of these rows count. Of them, every so-manieth is kept from the models and calibrates them.
+TRAINING_ROWS, CALIBRATION_PART = 700, 4
+#: Share of texts of a known language that calibration lets be rejected; the tail beyond a quantile of what
+#: calibration rows show is taken for exponential. With fewer rows than ``TAIL_ROWS`` nothing is rejected.
+FALSE_REJECTION, TAIL, TAIL_ROWS = 1e-5, 0.1, 20
+CACHE_BYTES = 48 << 20
 UND = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of number signs that aren't digits; and the letters in them.
+RUNS, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letters_of(run: str) -> list[str]:
+    """The runs of Unicode letters in a run of word characters."""
+    return [run] if run.isascii() else LETTERS.findall(run)
+
+
+def words_of(text: str | None) -> Counter:
+    """How often each run of letters stands in the lower-cased text."""
+    out: Counter = Counter()
+    for run, n in Counter(RUNS.findall((text or "").lower())).items():
+        for word in letters_of(run):
+            out[word] += n
+    return out
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -111,63 +128,87 @@ def dict_lookup(whole: list[np.ndarray], n: int, grams: np.ndarray) -> np.ndarra
     return whole[n - 2][first[np.searchsorted(g, grams)]]
 
 
-def _side_by_side(tables: list[tuple[np.ndarray, np.ndarray]], missing: float) -> tuple[np.ndarray, np.ndarray]:
-    every = np.unique(np.concatenate([h for h, _ in tables]))
-    out = np.full((len(every), len(tables)), missing)
-    for k, (h, v) in enumerate(tables):
-        out[np.searchsorted(every, h), k] = v
-    return every, out
+class Columns:
+    """Values by hash and language: for each hash, in sorted order, the languages that
+    have it and their values, one after the other."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+        hashes = np.concatenate([h for h, _ in tables])
+        language = np.repeat(np.arange(len(tables), dtype=np.int32), [len(h) for h, _ in tables])
+        order = np.lexsort((language, hashes))
+        self.hashes, first = np.unique(hashes[order], return_index=True)
+        self.starts = np.append(first, len(hashes)).astype(np.int64)
+        self.languages, self.values = language[order], np.concatenate([v for _, v in tables])[order]
+
+    def at(self, wanted: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, language, value) of every hit of the wanted hashes."""
+        none = np.zeros(0, np.int64)
+        if not len(self.hashes):
+            return none, none, np.zeros(0)
+        to = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        place = np.flatnonzero((self.hashes[to] == wanted) & ok)
+        n = self.starts[to[place] + 1] - self.starts[to[place]]
+        at = np.repeat(self.starts[to[place]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(place, n), self.languages[at], self.values[at]
 
 
 class LanguageModels:
-    """Models of all languages, the score's temperature and each language's mean and deviation."""
+    """Models of all languages, the score's temperature, and the cross-entropy that each
+    language's texts may have: a mean and how far above it, for 100 letters or more."""
 
     def __init__(self, words: dict[str, dict[str, int]]):
         self.languages = sorted(words)
         models = [KneserNey(words[x]) for x in self.languages]
         self.floors = np.array([m.floor for m in models])
-        # One sorted array of hashes for each order, with a column for each language; not a number where a language lacks the n-gram.
-        self.grams = [_side_by_side([m.grams[n] for m in models], np.nan) for n in range(ORDER)] if models else []
-        self.contexts = [_side_by_side([m.contexts[n] for m in models], 1.0) for n in range(ORDER)] if models else []
-        self.temperature, self.usual = 1.0, [(0.0, math.inf)] * len(self.languages)
+        self.grams = [Columns([m.grams[n] for m in models]) for n in range(ORDER)] if models else []
+        self.contexts = [Columns([m.contexts[n] for m in models]) for n in range(ORDER)] if models else []
+        self.temperature = 1.0
+        self.mean, self.above = np.zeros(len(models)), np.full(len(models), math.inf)
         self._reset()
 
     def _reset(self) -> None:
         self._known: dict[str, int] = {}
         self._bits = np.zeros((0, len(self.languages) + 1))
+        self._size = 0
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}, "_bits": self._bits[:0]}
+        return self.__dict__ | {"_known": {}, "_bits": self._bits[:0], "_size": 0}
 
     def log2(self, whole: list[np.ndarray], context: list[np.ndarray]) -> np.ndarray:
         """log2 probability at each place (places x languages)."""
-        p = np.broadcast_to(self.floors, (len(whole[0]), len(self.floors)))
+        p = np.tile(self.floors, (len(whole[0]), 1))
         for n in range(ORDER):
-            (c, back), (g, prob) = self.contexts[n], self.grams[n]
-            if not len(g):
-                continue
-            at = np.minimum(np.searchsorted(c, context[n]), len(c) - 1)
-            p = np.where(((c[at] == context[n]) & (whole[n] != 0))[:, None], back[at] * p, p)
-            to = np.minimum(np.searchsorted(g, whole[n]), len(g) - 1)
-            hit = np.flatnonzero(g[to] == whole[n])
-            found = prob[to[hit]]
-            p[hit] = np.where(np.isnan(found), p[hit], found)
+            place, language, back = self.contexts[n].at(context[n], whole[n] != 0)
+            p[place, language] *= back
+            place, language, found = self.grams[n].at(whole[n], whole[n] != 0)
+            p[place, language] = found
         return np.log2(p)
 
+    def _add(self, runs: list[str]) -> None:
+        """Bits (by language) and signs of new runs; of their letters, as words."""
+        step = max(1, 80_000 // len(self.languages))
+        parts = [self._bits]
+        for lo in range(0, len(runs), step):
+            some = runs[lo : lo + step]
+            words = [letters_of(r) for r in some]
+            owner = np.repeat(np.arange(len(some)), [len(w) for w in words])
+            whole, context, word = _grams([x for w in words for x in w], ORDER)
+            of = owner[word] if len(word) else word
+            bits = -self.log2(whole, context)
+            parts.append(np.stack([np.bincount(of, b, len(some)) for b in bits.T] + [np.bincount(of, minlength=len(some)).astype(float)], axis=1))
+        self._known.update(zip(runs, range(len(self._bits), len(self._bits) + len(runs))))
+        self._bits = np.concatenate(parts)
+        self._size += sum(map(len, runs)) + (150 + 8 * self._bits.shape[1]) * len(runs)
+
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per letter (texts x languages), and the letters of each text."""
-        counted = [Counter(LETTERS.findall((t or "").lower())) for t in texts]
-        if len(self._known) > CACHED_WORDS:
+        """Bits per letter (texts x languages), and the signs of each text (letters and
+        ends of words; 0 without a letter)."""
+        counted = [Counter(RUNS.findall((t or "").lower())) for t in texts]
+        if self._size > CACHE_BYTES:
             self._reset()
         new = list(set().union(*counted).difference(self._known)) if counted else []
-        parts = [self._bits]
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            whole, context, word = _grams(some, ORDER)
-            bits = -self.log2(whole, context)
-            parts.append(np.stack([np.bincount(word, b, len(some)) for b in bits.T] + [np.bincount(word, minlength=len(some)).astype(float)], axis=1))
-        self._known.update(zip(new, range(len(self._bits), len(self._bits) + len(new))))
-        self._bits = np.concatenate(parts) if new else self._bits
+        if new:
+            self._add(new)
         out = np.zeros((len(texts), len(self.languages) + 1))
         known = self._known.__getitem__
         for k, c in enumerate(counted):
@@ -176,19 +217,31 @@ class LanguageModels:
         n = out[:, -1]
         return out[:, :-1] / np.maximum(n, 1)[:, None], n
 
-    def calibrate(self, texts: list[str], languages: list[str]) -> None:
-        ce, n = self.entropies(texts)
+    def calibrate(self, texts: list[str], languages: list[str], false_rejection: float = FALSE_REJECTION) -> None:
+        """Fits temperature and rejection on texts that the models have not counted. How far
+        a text's best cross-entropy is above its language's mean, in shares of what its
+        length allows, has a tail that is taken for exponential beyond its ``TAIL``
+        quantile; the bound leaves ``false_rejection`` of it out. A language with
+        fewer than ``TAIL_ROWS`` rows gets the bound of all of them."""
+        at = {x: k for k, x in enumerate(self.languages)}
+        pairs = [(t, at[x]) for t, x in zip(texts, languages) if x in at]
+        ce, n = self.entropies([t for t, _ in pairs])
         ok = n > 0
-        ce, n, truth = ce[ok], n[ok], np.array([self.languages.index(x) for x in np.array(languages, object)[ok]], int)
+        ce, n, truth = ce[ok], n[ok], np.array([k for _, k in pairs], np.int64)[ok]
         if not len(ce):
             return
-        best = min((_loss(ce, n, truth, t), t) for t in 2.0 ** np.arange(-4, 7))
-        self.temperature = best[1]
+        self.temperature = min((_loss(ce, n, truth, t), t) for t in 2.0 ** np.arange(-4, 7))[1]
+        best = ce.argmin(axis=1)
+        low = ce[np.arange(len(ce)), best]
+        everywhere = float(np.average(low, weights=n))
+        for k in range(len(self.languages)):
+            own = best == k
+            self.mean[k] = np.average(low[own], weights=n[own]) if own.any() else everywhere
+        far = (low - self.mean[best]) * _weight(n)
+        pooled = _tail_bound(far, false_rejection)
         for k in range(len(self.languages)):
-            own, m = ce[truth == k, k], n[truth == k]
-            if len(own) > 1:
-                mean = float(np.average(own, weights=m))
-                self.usual[k] = (mean, max(1e-3, float(np.sqrt(np.mean((own - mean) ** 2 * np.minimum(m, 100))))))
+            own = far[best == k]
+            self.above[k] = _tail_bound(own, false_rejection) if len(own) >= TAIL_ROWS else pooled
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and whether the calibration accepts it."""
@@ -196,13 +249,28 @@ class LanguageModels:
             return [UND] * len(texts), [0.0] * len(texts), [False] * len(texts)
         ce, n = self.entropies(texts)
         best = ce.argmin(axis=1)
-        score = _posterior(ce, n, self.temperature)[np.arange(len(ce)), best]
-        mean, dev = (np.array(x)[best] for x in zip(*self.usual))
-        fit = ce[np.arange(len(ce)), best] <= mean + np.maximum(REJECT_BITS, REJECT_DEVIATIONS * dev / np.sqrt(np.clip(n, 1, 100)))
+        rows = np.arange(len(ce))
+        score = _posterior(ce, n, self.temperature)[rows, best]
+        fit = (ce[rows, best] - self.mean[best]) * _weight(n) <= self.above[best]
         some = n > 0
         return [self.languages[b] if s else UND for b, s in zip(best, some)], np.where(some, score, 0.0).tolist(), (some & fit).tolist()
 
 
+def _weight(n: np.ndarray) -> np.ndarray:
+    """Deviations fall with the square root of the letters, up to a hundred; beyond,
+    what a text is about counts more than chance."""
+    return np.sqrt(np.clip(n, 1, 100))
+
+
+def _tail_bound(far: np.ndarray, share: float) -> float:
+    """What ``share`` of values like these are above, if their tail is exponential."""
+    if len(far) < TAIL_ROWS:
+        return math.inf
+    edge = float(np.quantile(far, 1 - TAIL))
+    beyond = far[far > edge] - edge
+    return edge + (float(beyond.mean()) if len(beyond) else 0.0) * math.log(TAIL / share)
+
+
 def _posterior(ce: np.ndarray, n: np.ndarray, temperature: float) -> np.ndarray:
     x = -(ce - ce.min(axis=1, keepdims=True)) * math.log(2) * (np.sqrt(np.maximum(n, 1)) / temperature)[:, None]
     e = np.exp(x)
@@ -213,39 +281,42 @@ def _loss(ce, n, truth, t) -> float:
     return float(-np.log(np.maximum(_posterior(ce, n, t)[np.arange(len(ce)), truth], 1e-12)).mean())
 
 
-def train(rows: DataFrame) -> LanguageModels:
-    """Fits the models on ``rows`` (doc_id, text, lang), on the bounded sample
-    of ``TRAINING_ROWS`` of each language; rows without text or lang are left out."""
+def train(rows: DataFrame, training_rows: int = TRAINING_ROWS) -> LanguageModels:
+    """Fits the models on ``rows`` (doc_id, text, lang): on a sample of at most
+    ``training_rows`` of each language, by the hash of the id; rows without text or
+    lang are left out, other columns are ignored, repeated rows count as often
+    as they are in the sample. No usable row gives no model. What the driver gets, and what
+    is broadcast, is bounded by the sample: it grows with the number of languages, not of rows.
+
+    The count of each language gives a hash threshold that some more rows than wanted
+    pass, so that the window which makes the bound exact gets no language whole.
+    """
     spark = rows.sparkSession
-    usable = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    known = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ids = usable.where(F.col("lang").isin(known) if known else F.lit(False)).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    cut = ids.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= TRAINING_ROWS)
-    bound = {r["lang"]: r["h"] for r in cut.groupBy("lang").agg(F.max("_h").alias("h")).collect()}  # a row for each language
-    if not bound:
-        return LanguageModels({})
-    chosen = F.lit(False)
-    for lang, h in bound.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= h))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # repeated ids share a hash; the bound holds for them too
-    sample = C.saved(usable.where(chosen).select("doc_id", "lang", "text").withColumn("_k", first).where(F.col("_k") <= TRAINING_ROWS).drop("_k"), "language_sample")
+    usable = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("_h"))
+    sizes = usable.groupBy("lang").count().select(F.col("lang").alias("_l"), F.least(F.lit(1.0), (1.3 * training_rows + 30) / F.col("count")).alias("_share"))
+    place = F.pmod(F.col("_h"), F.lit(1 << 30)) / float(1 << 30)
+    passed = usable.join(F.broadcast(sizes), F.col("lang") == F.col("_l")).where(place <= F.col("_share"))  # a row for each language
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", F.xxhash64("text")))  # repeated ids share a hash; the bound holds for them too
+    ranked = passed.select("lang", "text", "_h", "doc_id").withColumn("_k", first).where(F.col("_k") <= training_rows)
+    sample = C.saved(ranked.select("lang", "text", (F.col("_k") % CALIBRATION_PART == 0).alias("_apart")), "language_sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
         for batch in batches:
+            found: Counter = Counter()
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                found.update((lang, w) for w in LETTERS.findall(text.lower()))
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
+                for word, n in words_of(text).items():
+                    found[lang, word] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
-    counts = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = sample.where("NOT _apart").select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words: dict[str, dict[str, int]] = {}
-    best = counts.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("_k") <= TRAINING_WORDS)
-    for r in best.select("lang", "word", "n").toLocalIterator():  # at most LANGUAGES x TRAINING_WORDS
+    for r in counts.toLocalIterator():  # the words of the sample
         words.setdefault(r["lang"], {})[r["word"]] = r["n"]
     models = LanguageModels(words)
-    some = sample.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where("_k <= 100").select("lang", "text").collect()  # at most LANGUAGES x 100 texts
-    some = [r for r in some if r["lang"] in words]
-    models.calibrate([r["text"] for r in some], [r["lang"] for r in some])
+    apart = sample.where("_apart").select("lang", "text").collect()  # a part of the sample
+    if models.languages:
+        models.calibrate([r["text"] for r in apart], [r["lang"] for r in apart])
+        models._reset()
     return models
 
 
@@ -253,13 +324,18 @@ def held_out() -> "F.Column":
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _sent(docs: DataFrame, models: LanguageModels):
+    return docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
+
+
 def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, lang_pred,
     score, accepted. Every text is read whole; null, empty and letterless texts
     are ``und`` with score 0 and rejected. Repeated rows each get a row; other
-    columns are neither used nor returned. Without any model all is ``und``.
+    columns are neither used nor returned. Equal cross-entropies go to the language that is first by name.
+    Without any model all is ``und``; an empty table gives no row.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
+    sent = _sent(docs, models)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,13 +345,17 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
                 some = batch.slice(lo, 512)
                 lang, score, ok = m.predict(some["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([some["doc_id"], some["held_out"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
+        m._reset()
+        C.released()
 
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def accepted_documents(docs: DataFrame, models: LanguageModels) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    """The rows of ``docs``, with all their columns, that are not rejected: null,
+    empty and letterless texts go, and all rows if there is no model. Repeated rows
+    are judged alike; an empty table stays empty."""
+    sent = _sent(docs, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -284,10 +364,13 @@ def accepted_documents(docs: DataFrame, models: LanguageModels) -> DataFrame:
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
                 yield some.filter(pa.array(m.predict(some.column(at).to_pylist())[2], pa.bool_()))
+        m._reset()
+        C.released()
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``identify`` of all ``documents`` by models of those that aren't held out."""
     docs = C.table(spark, sf_dir, "documents")
-    return identify(docs, train(docs.where(~held_out()))).drop("accepted")
+    return identify(docs, train(docs.where(~held_out())))

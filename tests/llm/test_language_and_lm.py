@@ -43,24 +43,86 @@ def test_junk_is_rejected(models):
     assert ok == [False, False] and lang[1] == "und"
 
 
-def test_kneser_ney_adds_up_and_agrees_with_a_plain_one():
-    words = {"ab": 3, "aab": 1, "ba": 2, "b": 4, "abb": 1}
-    model = language_id.LanguageModels({"x": words})
-    letters = sorted({c for w in words for c in w})
-    for history in ("", "a", "ab", "bb"):
-        p = 0.0
-        for c in [*letters, None]:
-            w = [history + (c or "")]
-            whole, context, _ = language_id._grams(w, language_id.ORDER)
-            at = len(history)
-            p += 2 ** model.log2(whole, context)[at, 0]
-        assert p == pytest.approx(1, abs=0.35) and p <= 1 + 1e-9  # the rest is for letters never seen
-    text = Counter()
-    for w, n in words.items():
-        for i, c in enumerate(w + "$"):
-            text[("^" + w)[max(0, i - 2) : i + 1], c] += n
-    whole, context, _ = language_id._grams(["ab"], language_id.ORDER)
-    assert 2 ** model.log2(whole, context)[2, 0] > 0.4  # the end after ^ab
+def plain_kneser_ney(words, order=4):
+    """P(sign | signs before it in the word), by dictionaries; contexts don't reach beyond the word's start."""
+    counts = [Counter() for _ in range(order + 1)]
+    before = [{} for _ in range(order + 1)]
+    for word, weight in words.items():
+        signs = "^" + word + "$"
+        for at in range(1, len(signs)):
+            for n in range(1, order + 1):
+                if n <= at + 1:
+                    gram = signs[at + 1 - n : at + 1]
+                    longer = signs[at - n : at + 1] if n <= at else None
+                    if n == order or longer is None:
+                        counts[n][gram] += weight
+                    else:
+                        before[n].setdefault(gram, set()).add(longer)
+    for n in range(1, order):
+        for gram, longer in before[n].items():
+            counts[n][gram] += len(longer)
+    floor = 1 / (len({c for w in words for c in w} | {""}) + 2)
+    discount = []
+    for n in range(order + 1):
+        once, twice = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        discount.append(min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5)
+
+    def p(history, sign):
+        out = floor
+        for n in range(1, order + 1):
+            if n - 1 > len(history):
+                break
+            context = history[len(history) - n + 1 :]
+            followers = {g: c for g, c in counts[n].items() if g[:-1] == context}
+            if followers:
+                total = sum(followers.values())
+                out = max(counts[n][context + sign] - discount[n], 0) / total + discount[n] * len(followers) / total * out
+        return out
+
+    return p
+
+
+def test_kneser_ney_agrees_with_a_plain_one(documents):
+    rows = [r["text"] for r in documents.where("lang = 'de'").limit(8).collect()]
+    for words in ({"ab": 3, "aab": 1, "ba": 2, "b": 4, "abb": 1}, dict(Counter(w for t in rows for w in language_id.words_of(t)).most_common(150))):
+        model, p = language_id.LanguageModels({"x": words}), plain_kneser_ney(words)
+        for word in [*list(words)[:25], "unseen", "zzz", "aabab"]:
+            got = 2 ** model.log2(*language_id._grams([word], language_id.ORDER)[:2])[:, 0]
+            signs = "^" + word + "$"
+            assert got == pytest.approx([p(signs[:at], signs[at]) for at in range(1, len(signs))], rel=1e-9)
+        for history in ("^", "^a", "^ab", "^bb"):
+            total = sum(p(history, c) for c in {c for w in words for c in w} | {"$"})
+            assert 0.9 < total <= 1 + 1e-9  # the rest is for letters never seen
+
+
+def test_only_letters_have_a_language(models):
+    lang, score, ok = models.predict(["½ ²", "Ⅷ ③ _ 12", "x²y½", "²" + "the and of " * 5])
+    assert lang[:2] == ["und", "und"] and score[:2] == [0, 0] and ok[:2] == [False, False] and "und" not in lang[2:]
+    assert language_id.words_of("X²y ½ Ünï") == Counter(["x", "y", "ünï"])
+
+
+def test_every_language_has_a_model(spark):
+    """Seventy languages of their own letters; a sample of few rows, one language with most of all, one id for many rows."""
+    letters = [chr(0x4E00 + 5 * k) + chr(0x4E01 + 5 * k) for k in range(70)]
+    rows = [(i, f"{letters[k]}{letters[k][::-1]} {letters[k][0]}", f"l{k:02}") for k in range(70) for i in range(100 * k, 100 * k + 3)]
+    rows += [(7000 + i, f"{letters[0]} {letters[0][0]}", "l00") for i in range(900)] + [(None, letters[1], "l01")] * 300 + [(1, None, "l00"), (2, "x", None)]
+    models = language_id.train(docs_of(spark, rows, extra=False), 40)
+    assert models.languages == [f"l{k:02}" for k in range(70)]
+    assert models.predict(letters)[0] == models.languages
+
+
+def test_rejection_rate_is_what_was_asked_for():
+    words = {"a": {f"{x}{y}{z}": 3 for x in "abcdef" for y in "aeiou" for z in "lmnrst"}}
+    model = language_id.LanguageModels(words)
+    rnd = np.random.default_rng(0)
+    names = sorted(words["a"])
+    texts = [" ".join(rnd.choice(names, rnd.integers(1, 40))) for _ in range(6000)]
+    for share in (0.05, 0.01):
+        model.calibrate(texts[:2000], ["a"] * 2000, share)
+        rejected = 1 - np.mean(model.predict(texts[2000:])[2])
+        assert rejected <= 2.5 * share + 0.002
+    model.calibrate(texts[:5], ["a"] * 5)
+    assert all(model.predict(texts[5:50])[2])  # too few to reject by
 
 
 def words_of(text):

@@ -7,6 +7,10 @@ never a recomputation from a machine-local file.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +31,40 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a batch that goes to Python, unless the session names fewer.
+BATCH_BYTES = 8 << 20
+_held: dict[str, tuple] = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python are bounded by bytes, so that neither long texts nor many rows
+    fill a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, str((1 << 31) - 2)).removesuffix("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def in_worker(kind: str, key, make):
+    """What ``make`` gives, kept in a Python worker for later tasks with one kind and
+    key. A worker keeps one thing alone: what an earlier stage has kept goes, and its
+    memory with it, before the next is made."""
+    if _held.get(kind, (None,))[0] != key:
+        _held.clear()
+        released()
+        _held[kind] = key, make()
+    return _held[kind][1]
+
+
+def released() -> None:
+    """Gives a worker's freed memory back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

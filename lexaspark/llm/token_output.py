@@ -4,9 +4,10 @@ File format. A dataset is a folder with two Parquet tables:
 
 * ``frequencies`` (token, freq): one table for all blocks, over every token that
   occurs; the frequencies add up to 2**SCALE.
-* ``blocks`` (start, doc_ids, lengths, frame): whole documents in ascending
-  doc_id order, about ``BLOCK`` tokens a row. ``start`` is the number of ids
-  before the block, ``lengths`` holds little-endian uint32.
+* ``blocks`` (part, start, tokens, doc_ids, lengths, frame): whole documents in
+  ascending doc_id order, about ``BLOCK`` tokens a row. Parts are ranges of ids in
+  ascending order, ``start`` is the number of ids before the block in its part,
+  ``tokens`` that of the block's own, ``lengths`` holds little-endian uint32.
 
 A frame is ``LXR1``, then uint32: CRC-32 of what follows it, tokens, lanes,
 words, checkpoints; the lanes' first states (uint64); for each checkpoint its
@@ -17,7 +18,6 @@ reader can begin at any block or at any checkpoint in it.
 
 from __future__ import annotations
 
-import array
 import re
 import struct
 import zlib
@@ -33,42 +33,52 @@ from lexaspark.llm import common as C
 
 END = 2
 SCALE = 20
-LANES, BLOCK, CHECKPOINT = 512, 1 << 17, 128
+LANES, BLOCK, CHECKPOINT = 1024, 1 << 18, 128
 LOW = np.uint64(1 << 31)
 MAGIC = b"LXR1"
-#: Cached words and space-separated chunks in a Python worker; a full cache starts anew.
-CACHED_WORDS, CACHED_CHUNKS = 500_000, 150_000
+#: Bytes of words, and of chunks of other texts, whose ids a Python worker keeps.
+WORD_BYTES, CHUNK_BYTES = 96 << 20, 16 << 20
 
 
 # --- tokens
 
 
-class _Chunks(dict):
-    """Ids of space-separated chunks; a missing one is encoded and kept."""
+class Kept(dict):
+    """Values by key; a missing one is made. Beyond half of ``limit`` bytes, what has
+    been asked for since the last time stays, and the rest goes."""
 
-    def __init__(self, encode):
-        super().__init__({"": b""})
-        self.encode = encode
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.before, self.held = make, limit, {}, 0
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.encode(chunk)
-        return ids
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if self.held > self.limit // 2:
+            self.before, self.held = dict(self), 0
+            self.clear()
+        self[key] = value
+        self.held += 180 + len(key) + len(value)  # with the objects' own sizes
+        return value
 
 
 class CachedTokenizer:
     """Ids of whole texts, equal to ``Tokenizer.encode(add_special_tokens=False)``.
 
-    White space always splits and is dropped by the file's own rules, so ids of
-    a text are those of its chunks between spaces and line ends. A chunk of
-    Latin letters with stops behind it is a word and a run of stops; the model
-    of the tokenizer gives the word's ids once. All else is encoded whole. A text
-    of nothing but such words and single stops is lower-cased and split at once.
+    The file's rules cut a lower-cased text into contractions, runs of letters,
+    digits and runs of other signs, and its model gives each piece's ids. Where a
+    text has only ASCII and the letters of Latin-1, a regular expression cuts the
+    same pieces and each distinct piece is given to the model once. Other texts are
+    encoded chunk by chunk between white space, which the rules drop.
     """
 
-    LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)])).encode("latin-1")
-    STOPS = b".,;:!?"
+    LATIN = "".join(map(chr, [*range(192, 215), *range(216, 247), *range(248, 256)]))
+    EASY = (" \n" + "".join(map(chr, range(33, 127))) + LATIN).encode("latin-1")
+    SMALL = "a-zß-öø-ÿ"
+    PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{SMALL}]+|[0-9]|[^\s{SMALL}0-9]+")
+    STOPS = (LATIN + "".join(map(chr, [*range(65, 91), *range(97, 123)])) + " \n.,;:!?").encode("latin-1")
     ONE_STOP = bytes(46 if b in b".,;:!?" else b for b in range(256))
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
     def __init__(self, path: str):
         import os
@@ -78,51 +88,52 @@ class CachedTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = [b for b in range(256) if b not in set(kept)]
-        self.bytemap = {b: b for b in kept} | {b: 256 + i for i, b in enumerate(other)}
-        self.words, self.chunks = _Chunks(self._word), _Chunks(self._chunk)
+        self.kind = np.dtype("<u2" if self.whole.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.sign = re.compile("|".join(map(re.escape, self.special)), re.I) if self.special else None
+        known = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in set(known)]
+        self.bytemap = {b: b for b in known} | {b: 256 + i for i, b in enumerate(other)}
+        self.pieces, self.chunks = Kept(self._piece, WORD_BYTES), Kept(self._chunk, CHUNK_BYTES)
 
-    def _word(self, word: str) -> bytes:
-        known = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytemap)
-        return array.array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        known = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytemap)
+        return self._packed([t.id for t in self.model.tokenize(known)]) if piece else b""
 
     def _chunk(self, chunk: str) -> bytes:
-        m = self.PLAIN.fullmatch(chunk)
-        if m:
-            return self.words[m[1].lower()] + self.words[m[2]]
-        return array.array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return self._packed(self.whole.encode(chunk, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        if len(self.words) > CACHED_WORDS:
-            self.words = _Chunks(self._word)
-        if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks = _Chunks(self._chunk)
-        words, chunks = self.words.__getitem__, self.chunks.__getitem__
-        return [b"".join(map(words, self._split(t))) if self._simple(t) else b"".join(map(chunks, t.replace("\n", " ").split(" "))) for t in texts]
-
-    def _simple(self, text: str) -> bool:
+        """The ids of each text, as little-endian numbers of ``kind``."""
+        pieces, chunks = self.pieces.__getitem__, self.chunks.__getitem__
+        out = []
+        for t in texts:
+            cut = self._cut(t)
+            out.append(b"".join(map(chunks, t.replace("\n", " ").split(" ")) if cut is None else map(pieces, cut)))
+        return out
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces of a text; None if the rules must cut it."""
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
-            return False
-        return not raw.translate(None, self.LETTERS + self.STOPS + b" \n") and b".." not in raw.translate(self.ONE_STOP)
-
-    def _split(self, text: str) -> list[str]:
-        text = text.lower().replace("\n", " ")
+            return None
+        if raw.translate(None, self.EASY) or (self.sign and any(x[0] in text for x in self.special) and self.sign.search(text)):
+            return None
+        text = text.lower()
+        if raw.translate(None, self.STOPS) or b".." in raw.translate(self.ONE_STOP):
+            return self.PIECES.findall(text)
+        text = text.replace("\n", " ")  # words and single stops alone: split at spaces
         for stop in ".,;:!?":
             text = text.replace(stop, f" {stop} ")
         return text.split(" ")
 
 
-_tokenizers: dict[str, CachedTokenizer] = {}
-
-
 def tokenizer(path: str) -> CachedTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
-    return _tokenizers[path]
+    return C.in_worker("tokenizer", path, lambda: CachedTokenizer(path))
 
 
 def default_path() -> str:
@@ -181,9 +192,10 @@ class Coder:
         body = struct.pack("<IIII", len(tokens), lanes, n, len(marks)) + x.tobytes() + head + np.concatenate(words[::-1] or [np.zeros(0, np.uint32)]).tobytes()
         return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
 
-    def decode(self, frame: bytes, checkpoint: int | None = None) -> np.ndarray:
+    def decode(self, frame, checkpoint: int | None = None) -> np.ndarray:
         """The tokens of a frame; from its checkpoint-th checkpoint on, if given."""
-        if frame[:4] != MAGIC or struct.unpack_from("<I", frame, 4)[0] != zlib.crc32(memoryview(frame)[8:]):
+        frame = memoryview(frame)
+        if bytes(frame[:4]) != MAGIC or struct.unpack_from("<I", frame, 4)[0] != zlib.crc32(frame[8:]):
             raise ValueError("damaged frame")
         n_tokens, lanes, n_words, n_marks = struct.unpack_from("<IIII", frame, 8)
         at, each = 24 + 8 * lanes, 8 + 8 * lanes
@@ -211,6 +223,43 @@ class Coder:
 # --- Spark
 
 
+def tokenised(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
+    """doc_id, tie (a hash of the text), row, n, ids of every document; and for each
+    task a row with n = -1 and ``hist``, its tokens and their counts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = F.coalesce("text", F.lit(""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, row, total = tokenizer(tokenizer_path), TaskContext.get().partitionId() << 33, np.zeros(0, np.int64)
+        names = ["doc_id", "tie", "row", "n", "ids", "hist"]
+        key = None
+        for batch in batches:
+            key = batch["doc_id"].type
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                kinds = tok.kind if end < 1 << 8 * tok.kind.itemsize else np.dtype("<u4")
+                stop = np.array([end], kinds).tobytes()
+                ids = [(i if kinds == tok.kind else np.frombuffer(i, tok.kind).astype(kinds).tobytes()) + stop for i in tok.encode(some["text"].to_pylist())]
+                c = np.bincount(np.frombuffer(b"".join(ids), kinds), minlength=len(total))
+                c[: len(total)] += total
+                total = c
+                n = pa.array([len(i) // kinds.itemsize for i in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([some["doc_id"], some["tie"], pa.array(np.arange(row, row + len(ids))), n, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+                row += len(ids)
+        if key is not None:
+            t = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.nulls(1, pa.int64()), pa.array([row]), pa.array([-1]), pa.nulls(1, pa.binary()), pa.array([np.stack([t, total[t]]).astype("<i8").tobytes()], pa.binary())], names)
+
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie")).mapInArrow(run, f"doc_id {kind}, tie long, row long, n long, ids binary, hist binary")
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch["hist"].to_pylist():
+            t, c = np.frombuffer(raw, "<i8").reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c)], ["token", "n"])
+
+
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end: int = END) -> None:
     """Writes the token ids of ``docs`` (doc_id, text) to ``path``, in the file
     format above, in ascending doc_id order (null first; rows with one id by a
@@ -218,116 +267,91 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end: int
 
     Each document is all its ids and then ``end``; null and empty texts are
     ``end`` alone. An empty table gives an empty dataset. Other columns are
-    ignored. Texts are sorted by range, tokenised once into a table, counted,
-    and coded. The driver gets a row for each range and each token.
+    ignored. Texts are tokenised once, where they are read, into a table, and
+    counted on the way; ids alone are sorted by range, so rows of one id and text
+    can be in several parts. The driver gets a row for each token.
     """
     spark = docs.sparkSession
+    C.small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    order = ["doc_id", "_tie"]
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text")).repartitionByRange(C.shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, tok = TaskContext.get().partitionId(), 0, tokenizer(tokenizer_path)
-        stop = struct.pack("<I", end)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                ids = [np.frombuffer(i + stop, np.uint32) for i in tok.encode(some["text"].to_pylist())]
-                n = np.array([len(i) for i in ids], np.int64)
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
-                small = [(i.astype(np.uint16) if len(i) and int(i.max()) < 65536 else i).tobytes() for i in ids]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), some["doc_id"], pa.array(starts), pa.array(n), pa.array(small, pa.binary())], ["part", "doc_id", "start", "n", "ids"])
-
-    tokens = C.saved(ranged.mapInArrow(tokenise, f"part int, doc_id {kind}, start long, n long, ids binary"), "tokens")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for n, ids in zip(batch["n"].to_pylist(), batch["ids"].to_pylist()):
-                c = np.bincount(_unpacked(n, ids))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
-        t = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(total[t])], ["token", "n"])
-
-    counts = tokens.select("n", "ids").mapInArrow(tally, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
-    parts = tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()  # a row for each range
-    offsets, at = {}, 0
-    for r in sorted(parts, key=lambda r: r["part"]):
-        offsets[r["part"]] = at
-        at += r["n"]
+    table = C.saved(tokenised(docs, tokenizer_path, end), "tokens")
+    counts = table.where("n < 0").select("hist").mapInArrow(_tallies, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
     symbols = np.array([r["token"] for r in counts], np.int64)
     freq = quantised(symbols, np.array([r["n"] for r in counts], np.int64))
     spark.createDataFrame(list(zip(symbols.tolist(), freq.tolist())), "token long, freq long").coalesce(1).write.parquet(f"{path}/frequencies")
-    sent = spark.sparkContext.broadcast((symbols, freq, offsets))
+    sent = spark.sparkContext.broadcast((symbols, freq))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, freq, offsets = sent.value
-        coder = Coder(symbols, freq)
+        coder, part = Coder(*sent.value), TaskContext.get().partitionId()
         held: list[tuple] = []
-        size, first, expected = 0, 0, None
+        size = start = 0
+        arrow = None
 
-        def block():
+        def block() -> pa.RecordBatch:
             ids = np.concatenate([i for _, i in held])
             lengths = np.array([len(i) for _, i in held], np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array([first]), pa.array([pa.array([d for d, _ in held], arrow).to_pylist()], pa.list_(arrow)), pa.array([lengths.tobytes()], pa.binary()), pa.array([coder.encode(ids)], pa.binary())], ["start", "doc_ids", "lengths", "frame"])
+            columns = [pa.array([part], pa.int32()), pa.array([start]), pa.array([size]), pa.array([[d for d, _ in held]], pa.list_(arrow)), pa.array([lengths.tobytes()], pa.binary()), pa.array([coder.encode(ids)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "start", "tokens", "doc_ids", "lengths", "frame"])
 
-        arrow = None
         for batch in batches:
-            arrow = batch.schema.field("doc_id").type
-            for part, doc, start, n, ids in zip(*(batch[c].to_pylist() for c in ("part", "doc_id", "start", "n", "ids"))):
-                if held and (expected != (part, start) or size >= BLOCK):
+            arrow = batch["doc_id"].type
+            for doc, n, ids in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "ids"))):
+                if size >= BLOCK:
                     yield block()
-                    held, size = [], 0
-                if not held:
-                    first = offsets[part] + start
-                held.append((doc, _unpacked(n, ids)))
-                size, expected = size + n, (part, start + n)
+                    held, start, size = [], start + size, 0
+                held.append((doc, np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")))
+                size += n
         if held:
             yield block()
 
-    tokens.mapInArrow(code, f"start long, doc_ids array<{kind}>, lengths binary, frame binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-
-
-def _unpacked(n: int, ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, np.uint16 if len(ids) == 2 * n else np.uint32)
+    order = ["doc_id", "tie", "row"]
+    ranged = table.where("n >= 0").select(*order, "n", "ids").repartitionByRange(C.shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    ranged.select("doc_id", "n", "ids").mapInArrow(code, f"part int, start long, tokens long, doc_ids array<{kind}>, lengths binary, frame binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_token_blocks(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32,
     and with ``ids`` the ids themselves. Blocks are decoded independently; a
-    damaged one raises."""
+    damaged one raises. An empty dataset gives no row."""
+    C.small_batches(spark)
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     table = spark.read.parquet(f"{path}/frequencies").collect()  # the vocabulary at most
-    sent = spark.sparkContext.broadcast((np.array([r["token"] for r in table], np.int64), np.array([r["freq"] for r in table], np.int64)))
+    before, at = {}, 0
+    for r in sorted(blocks.groupBy("part").agg(F.sum("tokens").alias("n")).collect()):  # a row for each part
+        before[r["part"]] = at
+        at += r["n"]
+    sent = spark.sparkContext.broadcast((np.array([r["token"] for r in table], np.int64), np.array([r["freq"] for r in table], np.int64), before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(*sent.value)
+        symbols, freq, before = sent.value
+        coder = Coder(symbols, freq)
         for batch in batches:
             for k in range(batch.num_rows):
-                lengths = np.frombuffer(batch["lengths"][k].as_py(), np.uint32).astype(np.int64)
-                tokens = coder.decode(batch["frame"][k].as_py())
+                lengths = np.frombuffer(batch["lengths"][k].as_buffer(), np.uint32).astype(np.int64)
+                tokens = coder.decode(batch["frame"][k].as_buffer())
                 ends = np.cumsum(lengths)
-                raw = memoryview(tokens.astype("<u4").tobytes())
-                columns = [batch["doc_ids"][k].values, pa.array(batch["start"][k].as_py() + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())], pa.int64())]
+                raw = memoryview(tokens.astype("<u4", copy=False)).cast("B")
+                first = before[batch["part"][k].as_py()] + batch["start"][k].as_py()
+                columns = [batch["doc_ids"][k].values, pa.array(first + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(tokens.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return blocks.select("start", "doc_ids", "lengths", "frame").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    return blocks.select("part", "start", "doc_ids", "lengths", "frame").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def token_output(docs: DataFrame, tokenizer_path: str | None = None, end: int = END) -> DataFrame:
-    """Writes the ids to a new folder in the shared directory and reads them back."""
+    """Writes the ids to a new folder in the shared directory and reads them back:
+    rows, nulls, empty texts, repeated rows and other columns as in
+    ``write_token_blocks`` and ``read_token_blocks``."""
     path = C.new_path(docs.sparkSession, "token_blocks")
     write_token_blocks(docs, path, tokenizer_path or default_path(), end)
     return read_token_blocks(docs.sparkSession, path)
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``token_output`` of all ``documents``."""
     return token_output(C.table(spark, sf_dir, "documents"))

@@ -156,10 +156,10 @@ def test_contamination_by_sql(spark, odd, nothing, documents, monkeypatch):
 @given(st.text(max_size=80))
 def test_cached_tokenizer(text):
     tok = token_output.tokenizer(PATH)
-    assert np.frombuffer(tok.encode([text])[0], np.uint32).tolist() == tok.whole.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tok.encode([text])[0], tok.kind).tolist() == tok.whole.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ["Don't stop! it's 12.5 ÄÖÜ ß ẞ", "a  b\tc\r\nd", "<|endoftext|> x<|startoftext|>y", "ΑΣ İstanbul é", "日本語", "..,, word;;: x!?", "a\x1cb c", "'s 's don''t"])
+@pytest.mark.parametrize("text", ["Don't stop! it's 12.5 ÄÖÜ ß ẞ", "a  b\tc\r\nd", "<|endoftext|> x<|startoftext|>y", "ΑΣ İstanbul é", "日本語", "..,, word;;: x!?", "a\x1cb c", "'s 's don''t", "ß&&& it's!! 'tis 'LL %%%x÷y×z ÿ\xa0\xad\x85 a1b22", "<|EndOfText|>"])
 def test_cached_tokenizer_on_hard_texts(text):
     test_cached_tokenizer.hypothesis.inner_test(text)
 
@@ -200,6 +200,15 @@ def expected(rows):
     return out
 
 
+def test_kept_values_are_bounded():
+    made = []
+    kept = token_output.Kept(lambda k: made.append(k) or k.encode(), 200 * 100)
+    for _ in range(3):
+        for i in range(1000):
+            assert kept[str(i)] == str(i).encode() and kept["often"] == b"often"
+    assert len(kept) + len(kept.before) <= 102 and made.count("often") == 1 and len(made) == 3001
+
+
 def test_round_trip(spark, documents, monkeypatch):
     monkeypatch.setattr(token_output, "BLOCK", 3000)
     rows = sorted((r["doc_id"], r["text"]) for r in documents.collect())

@@ -1,11 +1,15 @@
 """Sharding by balanced label propagation.
 
-Documents are nodes; equal texts, and any given links, are edges. Equal texts
-are contracted first: a group is one node, or, where it is larger than a
-parcel, as many nodes as it needs, which begin in one shard and vote for each
-other by bytes; only a group that fits whole in no shard's quota is cut.
-Iterative Spark joins then move linked nodes to the shard where most of their
-neighbours are, as far as the quotas allow. Nodes without links fill what is
+Documents are nodes. They are linked over hubs: a hub stands for a word shingle
+that documents sample alike (the smallest by each of a few hash functions, so
+near copies share most of theirs); so a group of any number of near copies has
+a few edges for each of them. Given links join nodes directly. Equal texts are
+contracted to one node, or, where there are too many of them or too large ones,
+to parcels that are packed into as few shards as hold them.
+
+Spark joins then alternate: a hub takes the shard where most of its documents
+are, and documents move to the shard of most of their hubs and neighbours, the
+largest gains first, as far as the shards' quotas allow. Nodes without links fill what is
 left, by size or by hash.
 
 Law: ``bytes``. Sizes of shards are equal to within a thousandth of a shard,
@@ -14,45 +18,94 @@ or one document where that is larger.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaspark.llm import common as C
+from lexaspark.llm import shingles
 
-SHARDS, ROUNDS = 8, 10
+SHARDS, ROUNDS = 8, 6
 #: A parcel and a large unlinked document are at least this part of a shard, so there are at most SHARDS times as many.
 PARCELS, LARGE = 16, 1000
 #: Movers to a shard are admitted by gain, then by one of so many hash steps.
 STEPS = 64
 #: Shards may be over their share by these parts of it: while labels move, and in the end.
 ROOM, SLACK = 0.1, 0.0005
+#: Shingles that a document samples, and their words.
+SAMPLED, WORDS = 4, 5
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text, 0 for null, plus 1), text_crc32 and
-    the group's key: texts are equal if hash, CRC and size are; null is the empty text."""
+    """doc_id, size (UTF-8 bytes of the text, 0 for null, plus 1), text_crc32, the
+    group's key (texts are equal if hash, CRC and size are; null is the empty text)
+    and a number of the row."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+
+
+KEY = ["text_hash", "text_crc32", "size"]
+
 
+def contracted(base: DataFrame, total: int, n_rows: int, shards: int = SHARDS) -> DataFrame:
+    """``base`` with parcels, part and node: rows of one text have one node, unless they hold more than a
+    parcel of all bytes or of all rows, which is cut by the rows' numbers. One document is never cut."""
+    bytes_each, rows_each = max(1.0, total / shards / PARCELS), max(1.0, n_rows / shards / PARCELS)
+    held = F.greatest(F.col("rows") * F.col("size") / F.lit(bytes_each), F.col("rows") / F.lit(rows_each))
+    # At most 2 * shards * PARCELS groups, as neither their bytes nor their rows add up to more than all.
+    split = base.groupBy(*KEY).agg(F.count("*").alias("rows")).where((F.col("rows") > 1) & (held > 1)).select(*KEY, F.least(F.ceil(held), F.col("rows")).cast("int").alias("parcels"))
+    part = F.coalesce(F.pmod(F.xxhash64(F.lit(3), "row"), F.col("parcels")).cast("int"), F.lit(0))
+    return base.join(F.broadcast(split), KEY, "left").withColumn("part", part).withColumn("parcels", F.coalesce("parcels", F.lit(1))).withColumn("node", F.xxhash64(*KEY, "part"))
 
-def propagate(nodes: DataFrame, edges: DataFrame, capacity: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``nodes``: node, size, shard; ``edges``: a, b, weight, each way once.
-    Returns the nodes with the shards after the rounds.
 
-    A round: nodes vote by joining edges with their neighbours' shards; a node
-    wants the shard with most votes if it has more there than at home. For each
-    shard the wishes are summed by gain and hash step, and the largest gains
-    that fit its quota are admitted. The driver gets shards x gains x steps sums.
+def sampled_hubs(docs: DataFrame) -> DataFrame:
+    """node, hub: the shingles that each text samples; a split group is stood for by its first parcel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keys = batch["text"].to_pylist(), batch["node"]
+            for a, b in shingles.chunks(texts):
+                grams, to = shingles.gram_hashes(*shingles.word_hashes(texts[a:b]), WORDS)
+                some = np.flatnonzero(np.diff(to))
+                for j in range(SAMPLED if len(some) else 0):
+                    least = np.minimum.reduceat(shingles.mixed(grams * shingles.GRAM_KEYS[WORDS + j]), to[some])
+                    yield pa.RecordBatch.from_arrays([keys.slice(a, b - a).take(pa.array(some)), pa.array(shingles.mixed(least + np.uint64(j)).view(np.int64))], ["node", "hub"])
+
+    text = F.coalesce("text", F.lit(""))
+    first = F.xxhash64(F.xxhash64(text), F.crc32(text.cast("binary")), (F.octet_length(text) + 1).cast("long"), F.lit(0))
+    return docs.select(first.alias("node"), "text").mapInArrow(run, "node long, hub long").distinct()
+
+
+def _hub_shards(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """hub, shard where most of its nodes are; of equal ones, by a hash."""
+    votes = edges.join(nodes.select("node", "shard"), "node").groupBy("hub", "shard").agg(F.sum("weight").alias("votes"))
+    return votes.groupBy("hub").agg(F.max_by("shard", F.struct("votes", F.xxhash64("hub", "shard"))).alias("shard"))
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, capacity: float, shards: int = SHARDS, rounds: int = ROUNDS, pairs: DataFrame | None = None) -> DataFrame:
+    """``nodes``: node, size, shard, fixed; ``edges``: node, hub, weight; ``pairs``: a, b, each way once.
+    Returns the nodes with the shards after the rounds; fixed ones vote and stay.
+
+    A round: hubs take their nodes' majority; a node wants the shard with most votes
+    of its hubs and neighbours if it has more there than at home. For each shard the wishes are
+    summed by gain and hash step, and the largest gains that fit its quota are
+    admitted. The driver gets shards x shards x gains x steps sums. As hubs and nodes take turns,
+    they don't swap places for ever; where nodes are neighbours, half of them may move in a round. Empty tables give no row.
     """
     spark = nodes.sparkSession
     loads = {r["shard"]: r["n"] for r in nodes.groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # a row for each shard
     for turn in range(rounds):
-        votes = edges.join(nodes.select(F.col("node").alias("b"), "shard"), "b").groupBy(F.col("a").alias("node"), "shard").agg(F.sum("weight").alias("votes"))
-        best = votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("shard")).alias("minus"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("shard", "votes"))).alias("by"))
-        wish = nodes.join(best, "node").withColumn("to", -F.col("best.minus")).withColumn("gain", F.col("best.votes") - F.coalesce(F.element_at("by", F.col("shard")), F.lit(0)))
-        # Half of the nodes may move in a round, so that neighbours don't swap places for ever.
-        wish = wish.where((F.col("gain") > 0) & (F.col("to") != F.col("shard")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0))
-        moving = C.saved(wish.select("node", "size", "shard", "to", F.least(F.floor(F.log2("gain")), F.lit(20)).cast("int").alias("class"), F.pmod(F.xxhash64("node"), F.lit(STEPS)).cast("int").alias("step")), "shard_wishes")
+        votes = edges.join(_hub_shards(edges, nodes), "hub").select("node", "shard", "weight")
+        if pairs is not None:
+            votes = votes.unionByName(pairs.join(nodes.select(F.col("node").alias("b"), "shard"), "b").select(F.col("a").alias("node"), "shard", F.lit(1).cast("long").alias("weight")))
+        votes = votes.groupBy("node", "shard").agg(F.sum("weight").alias("votes"))
+        best = votes.groupBy("node").agg(F.max_by(F.struct("shard", "votes"), F.struct("votes", F.xxhash64("node", "shard"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("shard", "votes"))).alias("by"))  # shards entries at most
+        free = nodes.where("NOT fixed" if pairs is None else (~F.col("fixed") & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)))
+        wish = free.join(best, "node").withColumn("to", F.col("best.shard")).withColumn("gain", F.col("best.votes") - F.coalesce(F.element_at("by", F.col("shard")), F.lit(0)))
+        moving = C.saved(wish.where((F.col("gain") > 0) & (F.col("to") != F.col("shard"))).select("node", "size", "shard", "to", F.least(F.floor(F.log2("gain")), F.lit(20)).cast("int").alias("class"), F.pmod(F.xxhash64("node"), F.lit(STEPS)).cast("int").alias("step")), "shard_wishes")
         sums = moving.groupBy("shard", "to", "class", "step").agg(F.sum("size").alias("n")).collect()  # bounded by shards, classes and steps
         admitted, waiting, some = set(), sorted(sums, key=lambda r: (-r["class"], r["step"], r["to"], r["shard"])), True
         while some:  # what leaves a shard makes room for others to come: shards exchange nodes
@@ -70,53 +123,60 @@ def propagate(nodes: DataFrame, edges: DataFrame, capacity: float, shards: int =
             break
         allowed = F.broadcast(spark.createDataFrame(sorted(admitted), "shard int, to int, class int, step int"))  # bounded likewise
         moved = moving.join(allowed, ["shard", "to", "class", "step"]).select("node", "to")
-        nodes = C.saved(nodes.join(moved, "node", "left").select("node", "size", F.coalesce("to", "shard").alias("shard")), "shard_labels")
+        nodes = C.saved(nodes.join(moved, "node", "left").select("node", "size", F.coalesce("to", "shard").alias("shard"), "fixed"), "shard_labels")
     return nodes
 
 
+def cut_edges(edges: DataFrame, nodes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """node, links (its hubs and neighbours), cut (those whose shard is another than its own)."""
+    ends = edges.join(_hub_shards(edges, nodes), "hub").select("node", F.col("shard").alias("_hub"))
+    if pairs is not None:
+        ends = ends.unionByName(pairs.join(nodes.select(F.col("node").alias("b"), F.col("shard").alias("_hub")), "b").select(F.col("a").alias("node"), "_hub"))
+    at = ends.join(nodes.select("node", "shard"), "node")
+    return at.groupBy("node").agg(F.count("*").alias("links"), F.count(F.when(F.col("_hub") != F.col("shard"), 1)).alias("cut"))
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, links: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, size, text_crc32, law,
-    shard, slot, grown_shard (null: the law is ``bytes``).
+    shard, slot, grown_shard (null: the law is ``bytes``), links (the hubs that its text shares with
+    others, and its neighbours), cut (those of them in another shard, a hub by most of its documents) and cut_by_hash
+    (how many that would be if documents were dealt by a hash).
 
     ``links`` (a, b: doc ids) are further edges; a link with an unknown or null
-    id counts for nothing. ``slot`` counts from 0 in each shard, by doc_id, then
+    id counts for nothing, and one of an id with several rows is one of all their texts. ``slot`` counts from 0 in each shard, by doc_id, then
     hash; equal rows are interchangeable. Null texts have size 1 and are the
-    empty text. Repeated rows are documents of their own, in one group. Other
-    columns are ignored; an empty table gives no row. A group that
-    fits in no shard is cut by a hash of the id, and equal ids by nothing, so
-    rows of one id and text stay together.
+    empty text; wordless texts have no hub. Repeated rows are documents of their own, in one group. Other
+    columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
     base = C.saved(document_sizes(docs), "shard_sizes")
-    key = ["text_hash", "text_crc32", "size"]
-    total = base.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = (int(x or 0) for x in base.agg(F.sum("size"), F.count("*")).first())
     capacity = total / shards
-    parcel = max(1.0, capacity / PARCELS)
-    groups = C.saved(base.groupBy(*key).agg(F.count("*").alias("rows")), "shard_groups")
-    # Groups above a parcel: at most shards * PARCELS, as their sizes add up to no more than the total.
-    split = F.broadcast(groups.where(F.col("rows") * F.col("size") > parcel).select(*key, F.ceil(F.col("rows") * F.col("size") / F.lit(parcel)).cast("int").alias("parcels")))
-    part = F.coalesce(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("parcels")).cast("int"), F.lit(0))
-    base = C.saved(base.join(split, key, "left").withColumn("part", part).withColumn("parcels", F.coalesce("parcels", F.lit(1))).withColumn("node", F.xxhash64(*key, "part")), "shard_nodes")
-    nodes = C.saved(base.groupBy("node").agg(F.sum("size").alias("size"), F.min(F.struct(*key)).alias("group"), F.min("part").alias("part"), F.min("parcels").alias("parcels")), "shard_parcels")
-
-    # Parcels of one group in one shard vote for each other by bytes, over the first of them as a hub, which votes for itself.
-    cut = nodes.where("parcels > 1").select("node", "size", F.struct(F.col("group.text_hash"), F.col("group.text_crc32"), F.col("group.size")).alias("group"), "part").collect()
-    begun = spark.createDataFrame(_packed(cut, capacity, shards), "node long, begin int, hub long")  # shards * PARCELS * 2 at most
-    edges = nodes.select("node", "size").join(F.broadcast(begun), "node").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("weight"))
+    base = C.saved(contracted(base, total, n_rows, shards), "shard_nodes")
+    nodes = C.saved(base.groupBy("node").agg(F.sum("size").alias("size"), F.min(F.struct(*KEY)).alias("group"), F.min("part").alias("part"), F.min("parcels").alias("parcels")), "shard_parcels")
+
+    # A few parcels for each shard; those of one group begin in as few shards as hold them, and stay.
+    begun = spark.createDataFrame(_packed(nodes.where("parcels > 1").select("node", "size", "group", "part").collect(), capacity, shards), "node long, begin int")
+    hubs = C.saved(sampled_hubs(docs), "shard_hubs")
+    shared = hubs.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
+    edges = C.saved(hubs.join(shared, "hub", "left_semi").withColumn("weight", F.lit(1).cast("long")), "shard_edges")
+    pairs, ends = None, edges.select("node")
     if links is not None:
-        at = base.select("doc_id", "node")
-        given = links.select("a", "b").join(at.select(F.col("doc_id").alias("a"), F.col("node").alias("na")), "a").join(at.select(F.col("doc_id").alias("b"), F.col("node").alias("nb")), "b")
-        edges = edges.unionByName(given.where("na != nb").select(F.col("na").alias("a"), F.col("nb").alias("b"), F.lit(1).alias("weight")))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").cast("long").alias("weight"))
-    both = C.saved(both, "shard_edges")
-    linked = nodes.join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi").join(F.broadcast(begun), "node", "left").select("node", "size", F.coalesce("begin", F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(shards)).cast("int")).alias("shard"))
-    linked = propagate(C.saved(linked, "shard_labels"), both, capacity, shards)
+        at = base.select("doc_id", "node").distinct()
+        given = links.select("a", "b").join(at.select(F.col("doc_id").alias("a"), F.col("node").alias("na")), "a").join(at.select(F.col("doc_id").alias("b"), F.col("node").alias("nb")), "b").where("na != nb")
+        pairs = C.saved(given.select(F.explode(F.array(F.struct(F.col("na").alias("a"), F.col("nb").alias("b")), F.struct(F.col("nb").alias("a"), F.col("na").alias("b")))).alias("p")).select("p.*").distinct(), "shard_pairs")
+        ends = ends.unionByName(pairs.select(F.col("a").alias("node")))
+    linked = nodes.join(ends.distinct(), "node", "left_semi").select("node", "size").join(F.broadcast(begun), "node", "full")
+    sized = linked.join(nodes.select("node", F.col("size").alias("_size")), "node")
+    linked = C.saved(sized.select("node", F.col("_size").alias("size"), F.coalesce("begin", F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(shards)).cast("int")).alias("shard"), F.col("begin").isNotNull().alias("fixed")), "shard_labels")
+    by_hash = cut_edges(edges, linked, pairs)
+    linked = propagate(linked, edges, capacity, shards, ROUNDS if pairs is None else 2 * ROUNDS, pairs)
     loads = [0] * shards
     for r in linked.groupBy("shard").agg(F.sum("size").alias("n")).collect():  # a row for each shard
         loads[r["shard"]] = r["n"]
     over = {s for s in range(shards) if loads[s] > capacity * (1 + SLACK)}
     if over:  # such shards give back by hash step what is too much
-        free = linked.join(F.broadcast(begun.select("node")), "node", "left_anti")
+        free = linked.where("NOT fixed")
         steps = free.where(F.col("shard").isin(sorted(over))).groupBy("shard", F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1024)).cast("int").alias("step")).agg(F.sum("size").alias("n")).collect()
         bound = {}
         for r in sorted(steps, key=lambda r: (r["shard"], r["step"])):
@@ -126,7 +186,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, links: DataFrame | No
         out = F.lit(False)
         for s, step in bound.items():
             out = out | ((F.col("shard") == s) & (F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1024)) <= step))
-        linked = C.saved(free.where(~out).unionByName(linked.join(F.broadcast(begun.select("node")), "node", "left_semi")), "shard_labels")
+        linked = C.saved(linked.where(F.col("fixed") | ~out), "shard_labels")
 
     # The rest: large nodes by size to the emptiest shard, at most shards * LARGE of them; small ones in hash order up to each shard's room.
     rest = C.saved(nodes.join(linked.select("node"), "node", "left_anti").select("node", "size"), "shard_rest")
@@ -145,18 +205,21 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, links: DataFrame | No
     slot_of = F.lit(shards - 1)
     for s in range(shards - 2, -1, -1):
         slot_of = F.when(F.col("ahead") + F.col("size") / 2 < ends[s], s).otherwise(slot_of)
-    where = linked.select("node", "shard").unionByName(spark.createDataFrame(placed, "node long, shard int")).unionByName(small.select("node", slot_of.cast("int").alias("shard")))
-
-    # A group can hold a third of all rows, but a node holds a parcel at most, unless one document is larger.
-    out = base.select("doc_id", "size", "text_crc32", "text_hash", "node").join(where, "node").select("doc_id", "size", "text_crc32", "text_hash", "shard")
-    numbered = C.saved(C.with_running_totals(out, [F.col("shard"), F.col("doc_id"), F.col("text_hash")], {}, "shard_order"), "shard_slots")
+    where = C.saved(linked.select("node", "shard").unionByName(spark.createDataFrame(placed, "node long, shard int")).unionByName(small.select("node", slot_of.cast("int").alias("shard"))), "shard_places")
+    counted = cut_edges(edges, where, pairs).join(by_hash.select("node", F.col("cut").alias("cut_by_hash")), "node")
+    where = where.join(counted, "node", "left").select("node", "shard", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("links", "cut", "cut_by_hash")])
+
+    # A group can hold a third of all rows, but a node holds a parcel of them at most.
+    more = ["links", "cut", "cut_by_hash"]
+    out = base.select("doc_id", "size", "text_crc32", "text_hash", "row", "node").join(where, "node").select("doc_id", "size", "text_crc32", "text_hash", "row", "shard", *more)
+    numbered = C.saved(C.with_running_totals(out, [F.col("shard"), F.col("doc_id"), F.col("text_hash"), F.col("row")], {}, "shard_order"), "shard_slots")
     first = F.broadcast(numbered.groupBy("shard").agg(F.min("_index").alias("_first")))  # a row for each shard
-    return numbered.join(first, "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_index") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return numbered.join(first, "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_index") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *more)
 
 
-def _packed(parcels: list, capacity: float, shards: int) -> list[tuple[int, int, int]]:
-    """(node, shard, hub) of the parcels: the largest groups first, each to the
-    fullest shard that takes it whole; only what fits in none is cut, over as few as do."""
+def _packed(parcels: list, capacity: float, shards: int) -> list[tuple[int, int]]:
+    """(node, shard) of the parcels: the largest groups first, each to the fullest shard
+    that takes it whole; only what fits in none is cut, over as few as do."""
     groups: dict = {}
     for r in sorted(parcels, key=lambda r: r["part"]):
         groups.setdefault(tuple(r["group"]), []).append(r)
@@ -172,7 +235,7 @@ def _packed(parcels: list, capacity: float, shards: int) -> list[tuple[int, int,
             while left and loads[s] + left[0]["size"] <= capacity:
                 loads[s] += left[0]["size"]
                 piece.append(left.pop(0))
-            out += [(r["node"], s, piece[0]["node"]) for r in piece]
+            out += [(r["node"], s) for r in piece]
     return out
 
 
@@ -187,4 +250,5 @@ def _water_level(loads: list[int], more: float) -> float:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shard_documents`` of all ``documents``."""
     return shard_documents(C.table(spark, sf_dir, "documents"))

@@ -112,6 +112,63 @@ def shards_hold(rows, tolerance):
     assert all(abs(loads[s] - mean) <= max(tolerance * mean, max(r["size"] for r in rows)) for s in range(8))
 
 
+def test_propagation_by_plain_rounds(spark):
+    """Small graphs without limits of size: hubs and nodes take turns, ties by Spark's hash."""
+    rnd = random.Random(8)
+    edges = sorted({(rnd.randrange(40), 1000 + rnd.randrange(18)) for _ in range(90)})
+    shard, fixed = {n: rnd.randrange(4) for n in range(40)}, {0, 7}
+    ids = spark.createDataFrame([(x, s) for x in [*range(40), *range(1000, 1018)] for s in range(4)], "x long, s int")
+    tie = {(r["x"], r["s"]): r["h"] for r in ids.withColumn("h", F.xxhash64("x", "s")).collect()}
+    nodes = spark.createDataFrame([(n, 1, shard[n], n in fixed) for n in range(40)], "node long, size long, shard int, fixed boolean")
+    got = sharding.propagate(nodes, spark.createDataFrame([(*e, 1) for e in edges], "node long, hub long, weight long"), 1000, 4, 3)
+    for _ in range(3):
+        votes = defaultdict(Counter)
+        for n, h in edges:
+            votes[h][shard[n]] += 1
+        hub = {h: max(v, key=lambda s: (v[s], tie[h, s])) for h, v in votes.items()}
+        wants = defaultdict(Counter)
+        for n, h in edges:
+            wants[n][hub[h]] += 1
+        for n, v in wants.items():
+            best = max(v, key=lambda s: (v[s], tie[n, s]))
+            if n not in fixed and v[best] > v[shard[n]]:
+                shard[n] = best
+    assert {r["node"]: r["shard"] for r in got.collect()} == shard
+
+
+def test_propagation_brings_near_copies_together(spark):
+    rows = list(enumerate(t for k in range(60) for t in near_copies(4, seed=100 + k))) + [(1000 + i, f"text {i} with no like " * 9) for i in range(300)]
+    got = sharding.shard_documents(docs_of(spark, rows)).collect()
+    shards_hold(got, 0.005)
+    cut, by_hash, links = (sum(r[c] for r in got) for c in ("cut", "cut_by_hash", "links"))
+    assert links > 700 and by_hash > 0.4 * links and cut < 0.1 * links
+    home = {r["doc_id"]: r["shard"] for r in got}
+    assert sum(len({home[4 * k + j] for j in range(4)}) == 1 for k in range(60)) >= 45
+
+
+def test_propagation_moves_nodes_in_the_query(spark):
+    got = sharding.op5_sharding(spark, "/root/testdata/sf0.01").collect()
+    links, cut, by_hash = (sum(r[c] for r in got) for c in ("links", "cut", "cut_by_hash"))
+    assert links > 0 and cut < 0.2 * by_hash
+
+
+def test_many_small_equal_rows_are_cut_by_rows(spark):
+    rows = [(None if i % 2 else 7, None) for i in range(3000)] + [(10 + i, f"text number {i} " * 50) for i in range(600)]
+    docs = docs_of(spark, rows)
+    base = sharding.document_sizes(docs)
+    total = base.agg(F.sum("size")).first()[0]
+    at = sharding.contracted(base, total, 3600).groupBy("node").agg(F.count("*").alias("n"), F.min("size").alias("size")).collect()
+    assert max(r["n"] for r in at) <= 2 * 3600 / 128 and sum(r["n"] for r in at) == 3600
+    got = sharding.shard_documents(docs).collect()
+    shards_hold(got, 0.01)
+    assert len({r["shard"] for r in got if r["size"] == 1}) == 1  # in bytes they fit in one shard
+
+
+def test_one_large_document_is_one_node(spark):
+    got = sharding.shard_documents(docs_of(spark, [(1, "huge " * 5000), (2, "small"), (3, "small too")])).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3]
+
+
 def test_shards_are_even_and_keep_groups(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = sharding.shard_documents(docs).collect()

@@ -46,12 +46,10 @@ def windows(items: list[tuple[str | None, str | None]], width: int = WINDOW) ->
     return found
 
 
-_built: dict[str, object] = {}
-
-
 def _automaton(key: str, found: dict):
-    """Built once for each Python worker."""
-    if key not in _built:
+    """Built once for each Python worker, and kept until another operator's turn."""
+
+    def make():
         import ahocorasick
 
         made = ahocorasick.Automaton()
@@ -59,9 +57,9 @@ def _automaton(key: str, found: dict):
             made.add_word(w.decode("latin-1"), value)
         if found:
             made.make_automaton()
-        _built.clear()
-        _built[key] = made
-    return _built[key]
+        return made
+
+    return C.in_worker("automaton", key, make)
 
 
 def scan(text: str | None, automaton) -> tuple[int, np.ndarray | None, set]:
@@ -89,13 +87,30 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in zip(edge[::2], edge[1::2])]
 
 
-def _groups(benchmark: DataFrame) -> list[list[tuple[str | None, str | None]]]:
-    """The items, in groups of at most ``AUTOMATON_BYTES`` of text where items allow."""
+def _groups(benchmark: DataFrame) -> Iterator[tuple[list, bool]]:
+    """The items, in groups of at most ``AUTOMATON_BYTES`` of text where items
+    allow, and whether there are more; one group after the other is on the driver."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // AUTOMATON_BYTES
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[tuple(r) for r in items.where(part == g).collect()] for g in range(n)]
+    for g in range(n):
+        yield [tuple(r) for r in items.where(part == g).toLocalIterator()], g + 1 < n  # at most AUTOMATON_BYTES
+
+
+def _in_passes(docs: DataFrame, benchmark: DataFrame, width: int, step) -> DataFrame:
+    """``step`` (documents, windows broadcast, their key, whether it is the last) for each group. A pass
+    before the last is written, so that its broadcast can go before the next is made."""
+    out = docs
+    for items, more in _groups(benchmark):
+        found = windows(items, width)
+        key = hashlib.sha256(repr(sorted((w, sorted(map(str, v[1]))) for w, v in found.items())).encode()).hexdigest()
+        sent = docs.sparkSession.sparkContext.broadcast(found)  # ten words for each of the items' at most
+        out = step(out, sent, key, not more)
+        if more:
+            out = C.saved(out, "decontamination_pass")
+            sent.destroy()
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -109,25 +124,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     no rows. Further columns of either table are ignored. ``spans`` are
     character offsets in the original text.
     """
-    out = docs.select("doc_id", "text").withColumn("_items", F.array().cast("array<string>")).withColumn("_spans", F.lit(None).cast("binary"))
-    groups = _groups(benchmark)
-    for g, items in enumerate(groups):
-        out = _pass(out, items, width, g == len(groups) - 1)
-    return out
+    rows = docs.select("doc_id", "text").withColumn("_items", F.array().cast("array<string>")).withColumn("_hit", F.lit(None).cast("binary"))
+    return _in_passes(rows, benchmark, width, _pass)
 
 
-def _pass(docs: DataFrame, items: list, width: int, last: bool) -> DataFrame:
-    found = windows(items, width)
-    key = hashlib.sha256(b"\n".join(sorted(found)) + repr(sorted((w, sorted(map(str, v[1]))) for w, v in found.items())).encode()).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast(found)  # at most AUTOMATON_BYTES of items, ten words for each of theirs
+def _pass(docs: DataFrame, sent, key: str, last: bool) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + (RESULT if last else "text string, _items array<string>, _spans binary")
+    schema = f"doc_id {kind}, " + (RESULT if last else "text string, _items array<string>, _hit binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, sent.value)
         for batch in batches:
             rows = []
-            for text, had, before in zip(batch["text"].to_pylist(), batch["_items"].to_pylist(), batch["_spans"].to_pylist()):
+            for text, had, before in zip(batch["text"].to_pylist(), batch["_items"].to_pylist(), batch["_hit"].to_pylist()):
                 n, hit, ids = scan(text, automaton)
                 ids = {*had, *(i for i in ids if i is not None)}
                 if before:
@@ -135,7 +144,7 @@ def _pass(docs: DataFrame, items: list, width: int, last: bool) -> DataFrame:
                     hit = earlier if hit is None else hit | earlier
                 rows.append((n, hit, ids))
             if not last:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array([sorted(i) for _, _, i in rows], pa.list_(pa.string())), pa.array([None if h is None else h.tobytes() for _, h, _ in rows], pa.binary())], ["doc_id", "text", "_items", "_spans"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array([sorted(i) for _, _, i in rows], pa.list_(pa.string())), pa.array([None if h is None else h.tobytes() for _, h, _ in rows], pa.binary())], ["doc_id", "text", "_items", "_hit"])
                 continue
             texts = batch["text"]
             yield pa.RecordBatch.from_arrays(
@@ -156,26 +165,26 @@ def _pass(docs: DataFrame, items: list, width: int, last: bool) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that no window occurs in.
+    """The rows of ``docs``, with all their columns, that no window occurs in; null and
+    empty texts stay, repeated rows are judged alike, and without items all stay. An
+    empty table stays empty.
 
     Rows are filtered where they are read: no join and no shuffle."""
-    out = docs
-    for items in _groups(benchmark):
-        found = windows(items, width)
-        key = hashlib.sha256(b"\n".join(sorted(found))).hexdigest() + "-clean"
-        sent = docs.sparkSession.sparkContext.broadcast(found)  # bounded as above
 
-        def run(batches: Iterator[pa.RecordBatch], key=key, sent=sent) -> Iterator[pa.RecordBatch]:
+    def step(rows: DataFrame, sent, key: str, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(key, sent.value)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text"))
                 yield batch.filter(pa.array([scan(t, automaton)[1] is None for t in texts.to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return rows.mapInArrow(run, docs.schema)
+
+    return _in_passes(docs, benchmark, width, step)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``contamination`` of all ``documents`` by all ``benchmark`` items."""
     return contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("item_ids", "spans")
 
 

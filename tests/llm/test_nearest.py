@@ -40,10 +40,29 @@ def test_few_and_none(spark):
 def test_the_bounds_spare_exact_work():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 32))
-    pack = lambda v: (np.arange(len(v)) + 10_000 * (len(v) < 2000), v, (c := np.rint(v / (s := np.abs(v).max(axis=1) / 127)[:, None]).astype(np.int8)), s, np.sqrt(((v - c * s[:, None]) ** 2).sum(axis=1)))
-    heaps = nearest.Heaps(10)
-    done = nearest.tile(pack(x[:50]), pack(x), heaps)
-    assert 500 <= done < 0.05 * 50 * 2000 and all(len(b) == 10 for b in heaps.best.values())
+    block = lambda v, at: (np.arange(len(v)) + at, np.arange(len(v)) + at, *nearest.coded(v))
+    cell = nearest.Cell(10)
+    for at in range(0, 2000, 500):
+        cell.add(block(x[:50], 10_000), block(x[at : at + 500], at))
+    left = [b for b in cell.left()]
+    pairs = {(q, c) for b in left for q, c in zip(b["q_row"].to_pylist(), b["c_row"].to_pylist())}
+    assert 500 <= len(pairs) < 0.05 * 50 * 2000
+    near, far = nearest.bounds(block(x[:50], 10_000), block(x, 0))
+    true = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(axis=2))
+    assert (near <= true).all() and (true <= far).all()
+    for q in range(50):
+        assert all((10_000 + q, c) in pairs for c in np.argsort(true[q], kind="stable")[:10])
+
+
+def test_many_copies_and_small_blocks(spark, monkeypatch):
+    """Ties over many blocks and cells: one vector under many ids, and equal rows of one id."""
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(120)] + [(500, [1.0, 2.0, 3.5])] * 60 + [(600 + i, rng.integers(0, 3, 3).astype(float).tolist()) for i in range(80)]
+    df = vectors(spark, rows)
+    got = nearest.nearest(df.where("vec_id % 20 = 0"), df, 7).collect()
+    assert sorted(map(tuple, got)) == brute({i for i, _ in rows if i % 20 == 0}, rows, 7)
 
 
 def test_wide_vectors_stay_exact():

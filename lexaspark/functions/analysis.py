@@ -4,15 +4,22 @@ The same rules exist twice: as Spark columns for documents and in Python for
 query strings; a test holds one against the other. Tokens are maximal runs of
 letters and decimal digits with ordinal positions; dropping stopwords leaves
 gaps, so phrases keep their distances.
+
+All but two rules are JVM expressions. NFC changes so few letters that texts
+without them are found by one pattern; the others' token arrays go to Python.
+Stems are made once for each distinct word and joined.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +30,15 @@ TOKEN = r"[\p{L}\p{Nd}]+"
 # The words that are not indexed.
 STOPWORDS = "a an the and or but in on at to for of with by from is it its as be was are were has have had he she they we i you that this which who not no so if do did will can may about than into".split()
 
+# The words that the stemmer leaves as they are.
+UNSTEMMED = frozenset("""
+a about above after again against all am an and any are as at be because been before being below between both but by can did do
+does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in
+into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s
+same she should so some such t than that the their theirs them themselves then there these they this those through to too under
+until up very was we were what when where which while who whom why will with you your yours yourself yourselves
+""".split())
+
 
 @dataclass(frozen=True)
 class AnalyzerConfig:
@@ -46,59 +62,77 @@ def lowercase(text: Column) -> Column:
     return F.lower(F.translate(text, "İΣ", "iσ"))
 
 
-def _normal(terms: pd.Series, nfc: bool, stem: bool) -> pd.Series:
-    known: dict[str, str] = {}
+@cache
+def changed_letters() -> str:
+    """A pattern of the letters that NFC changes, alone or beside others: those that are not
+    their own NFC, and the vowels and finals that compose to Hangul syllables."""
+    other = [c for c in range(0x250, 0x110000) if (x := chr(c)) and not 0xD800 <= c < 0xE000 and not unicodedata.is_normalized("NFC", x) and unicodedata.category(x)[0] in "LN"]
+    other += [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]
+    ranges: list[list[int]] = []
+    for c in sorted(other):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
 
-    def one(term: str) -> str:
-        if term not in known:
-            t = unicodedata.normalize("NFC", term) if nfc and not term.isascii() else term
-            known[term] = porter2.stem(t) if stem and t not in _stop else t
-        return known[term]
+def has_changed_letters(text: Column) -> Column:
+    return text.rlike(changed_letters())
 
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfc_udf(terms: pd.Series) -> pd.Series:
+    one = lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t)
     return terms.map(lambda ts: None if ts is None else [one(t) for t in ts])
 
 
-_stop = frozenset(STOPWORDS)
+def normalized(terms: Column, text: Column) -> Column:
+    """NFC of the token array of a text. Tokens hold no combining marks, so few letters can
+    change; only arrays of texts with one of them are handed to Python, all
+    others go there as null and come back unchanged."""
+    return F.coalesce(_nfc_udf(F.when(has_changed_letters(text), terms)), terms)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nfc_udf(terms: pd.Series) -> pd.Series:
-    return _normal(terms, True, False)
+def is_stopword(term: Column) -> Column:
+    return term.isin(STOPWORDS)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_udf(terms: pd.Series) -> pd.Series:
-    return _normal(terms, False, True)
+def kept_terms(text: Column, config: AnalyzerConfig) -> Column:
+    """Array of the lower-cased tokens, null where one is dropped, so that the index
+    of a term is its position. NFC and stems come later, where they are rare."""
+    low = F.transform(tokenize(text), lowercase)
+    return F.transform(low, lambda t: F.when(~is_stopword(t), t)) if config.stopwords else low
 
 
-def normalized(terms: Column) -> Column:
-    """NFC of a token array. Tokens hold no combining marks, so NFC can only
-    change those with a letter above the Latin blocks; only such rows' arrays
-    are handed to Python, all others go there as null and come back unchanged."""
-    other = F.when(F.exists(terms, lambda t: t.rlike("[^\\x00-\u02ff]")), terms)
-    return F.coalesce(_nfc_udf(other), terms)
+def stems(words: DataFrame) -> DataFrame:
+    """``words`` (term) -> term, stem of each distinct word."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["term"], pa.array([stem_text(t) for t in batch["term"].to_pylist()], pa.string())], ["term", "stem"])
 
-def is_stopword(term: Column) -> Column:
-    return term.isin(STOPWORDS)
+    return words.select("term").where("term IS NOT NULL").distinct().mapInArrow(run, "term string, stem string")
 
 
-def analyzed(text: Column, config: AnalyzerConfig) -> Column:
-    """Array of (pos, term) structs after all filters."""
-    terms = tokenize(text)
-    low = F.transform(normalized(terms) if config.nfc else terms, lowercase)
-    if config.stem:
-        pairs = F.zip_with(low, _stem_udf(low), lambda a, b: F.struct(a.alias("low"), b.alias("term")))
-        pairs = F.transform(pairs, lambda x, i: F.struct(i.alias("pos"), x["low"].alias("low"), x["term"].alias("term")))
-        pairs = F.filter(pairs, lambda x: ~is_stopword(x["low"])) if config.stopwords else pairs
-        return F.transform(pairs, lambda x: F.struct(x["pos"].alias("pos"), x["term"].alias("term")))
-    pairs = F.transform(low, lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
-    return F.filter(pairs, lambda x: ~is_stopword(x["term"])) if config.stopwords else pairs
+@F.pandas_udf(T.StringType())
+def _stem_udf(terms: pd.Series) -> pd.Series:
+    return terms.map(lambda t: None if t is None else stem_text(t))
+
+
+def stemmed(term: Column) -> Column:
+    """Stems row by row, for a few rows: the words of queries and of the k best texts."""
+    return _stem_udf(term)
 
 
 # --- Python
 
 
+def stem_text(word: str) -> str:
+    """The stem of a lower-case word."""
+    return word if word in UNSTEMMED else porter2.stem(word)
+
+
 def tokenize_text(text: str) -> list[str]:
     out, start = [], None
     for i, c in enumerate(text):
@@ -119,6 +153,6 @@ def analyze_text(text: str, config: AnalyzerConfig = AnalyzerConfig()) -> list[t
     out = []
     for pos, token in enumerate(tokenize_text(text)):
         low = lowercase_text(unicodedata.normalize("NFC", token) if config.nfc else token)
-        if not (config.stopwords and low in _stop):
-            out.append((pos, porter2.stem(low) if config.stem else low))
+        if not (config.stopwords and low in STOPWORDS):
+            out.append((pos, stem_text(low) if config.stem else low))
     return out

@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaspark.sources import workspace
 
 DAMPING, ITERATIONS = 0.85, 30
-#: Rounds between tables that cut the lineage.
-CUT_EVERY = 5
-#: Graphs of at most so many nodes and distinct edges are ranked in memory: thirty
-#: rounds of joins would cost far more than they do. Larger ones are never collected.
-SMALL_GRAPH = 1_000_000
 
 
 def link_graph(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -33,24 +26,15 @@ def title_words(titles: DataFrame) -> DataFrame:
     return words.groupBy("title").agg(F.max("doc_id").alias("doc_id"))
 
 
-def dangling_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.select("doc_id").join(edges.select(F.col("src").alias("doc_id")), "doc_id", "left_anti")
+def linked_titles(docs: DataFrame) -> DataFrame:
+    """src, dst of every link that is the exact title of a document, the last of equal titles."""
+    from lexaspark.operators.index import title_map
+
+    return link_graph(docs, title_map(docs))
 
 
-def _small_pagerank(nodes: DataFrame, weighted: DataFrame, damping: float, iterations: int) -> DataFrame:
-    ids = np.sort(nodes.toArrow()["doc_id"].to_numpy())
-    found = weighted.toArrow()
-    at = lambda c: np.minimum(np.searchsorted(ids, found[c].to_numpy()), len(ids) - 1)
-    src, dst, share = at("src"), at("dst"), found["share"].to_numpy()
-    known_src = ids[src] == found["src"].to_numpy()
-    known = known_src & (ids[dst] == found["dst"].to_numpy())
-    dangling = np.ones(len(ids), bool)
-    dangling[src[known_src]] = False
-    rank = np.full(len(ids), 1.0 / len(ids))
-    for _ in range(iterations):
-        given = np.bincount(dst[known], rank[src[known]] * share[known], len(ids))
-        rank = (1 - damping) / len(ids) + damping * rank[dangling].sum() / len(ids) + given
-    return nodes.sparkSession.createDataFrame(pa.table({"doc_id": ids, "score": rank}))
+def dangling_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return nodes.select("doc_id").join(edges.select(F.col("src").alias("doc_id")), "doc_id", "left_anti")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
@@ -63,29 +47,31 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
     rank of the round before. The rounds are linear, so Spark computes what an
     even start would become along the links after 0, 1, ... rounds, without any
     value from the driver in between; one aggregate of the dangling parts then
-    gives the amounts, and each node's rank is a weighted sum of its row. Each
-    round shuffles only the pre-aggregated sums by target. Repeated edges are
-    summed into one weight; the lineage is cut by tables in the shared folder.
+    gives the amounts, and each node's rank is a weighted sum over the rounds. A
+    round is one join and one pre-aggregated sum by target over the nodes that
+    still have some, written to the shared folder. Repeated edges are
+    summed into one weight.
     """
     n = nodes.count()
     if not n:
         return nodes.select("doc_id").withColumn("score", F.lit(0.0))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     weighted = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(out, "src")
+    for end in ("src", "dst"):  # rank that unknown targets get goes nowhere
+        weighted = weighted.join(nodes.select(F.col("doc_id").alias(end)), end, "left_semi")
     weighted = workspace.saved(weighted.select("src", "dst", (damping * F.col("n") / F.col("out")).alias("share")), "edges")
-    if n <= SMALL_GRAPH and weighted.count() <= SMALL_GRAPH:
-        return _small_pagerank(nodes.select("doc_id"), weighted, damping, iterations)
-    spread = nodes.select("doc_id").join(out.select(F.col("src").alias("doc_id"), F.lit(False).alias("_d")), "doc_id", "left")
-    spread = workspace.saved(spread.select("doc_id", F.coalesce("_d", F.lit(True)).alias("dangling"), F.array(F.lit(1.0)).alias("u")), "ranks")
+    level = nodes.select("doc_id", F.lit(1.0).alias("u"), F.lit(0).alias("turn"))
+    levels = level
     for turn in range(1, iterations + 1):
-        given = spread.select("doc_id", F.element_at("u", -1).alias("_u")).join(weighted, F.col("doc_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("_u") * F.col("share")).alias("_given"))
-        spread = spread.join(given, F.col("doc_id") == F.col("dst"), "left").select("doc_id", "dangling", F.array_append("u", F.coalesce("_given", F.lit(0.0))).alias("u"))
-        if turn % CUT_EVERY == 0 or turn == iterations:
-            spread = workspace.saved(spread, "ranks")
-    lost = spread.where("dangling").agg(*[F.coalesce(F.sum(F.get("u", F.lit(j))), F.lit(0.0)) for j in range(iterations + 1)]).first()  # one row
+        given = level.join(weighted, F.col("doc_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("u") * F.col("share")).alias("u"))
+        level = workspace.saved(given.select(F.col("dst").alias("doc_id"), "u", F.lit(turn).alias("turn")), "ranks")
+        levels = levels.unionByName(level)
+    known = nodes.select("doc_id").join(out.select(F.col("src").alias("doc_id"), F.lit(1).alias("_out")), "doc_id", "left").select("doc_id", F.col("_out").isNull().alias("dangling"))
+    levels = workspace.saved(known.join(levels, "doc_id"), "ranks")
+    lost = {r["turn"]: r["u"] for r in levels.where("dangling").groupBy("turn").agg(F.sum("u").alias("u")).collect()}  # a row for each round
     added: list[float] = []  # what each round adds to every node
     for t in range(iterations):
-        at = sum(added[t - 1 - j] * lost[j] for j in range(t)) + lost[t] / n
+        at = sum(added[t - 1 - j] * lost.get(j, 0.0) for j in range(t)) + lost.get(t, 0.0) / n
         added.append((1 - damping) / n + damping * at / n)
-    share = [*reversed(added), 1.0 / n]
-    return spread.select("doc_id", sum((F.get("u", F.lit(j)) * w for j, w in enumerate(share)), F.lit(0.0)).alias("score"))
+    share = F.array(*[F.lit(w) for w in [*reversed(added), 1.0 / n]])
+    return levels.groupBy("doc_id").agg(F.sum(F.col("u") * F.get(share, F.col("turn"))).alias("score"))

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaspark.functions.analysis import analyze_text
-from lexaspark.operators.index import Index
+from lexaspark.functions.analysis import AnalyzerConfig, analyze_text, kept_terms, normalized, stemmed
+from lexaspark.operators.index import Index, field_tf
 from lexaspark.plans.evaluate import evaluate, evaluate_as_coded
 
 K1, B = 1.2, 0.75
@@ -49,8 +49,7 @@ def score_matches(index: Index, text: str, scorer: Scorer = bm25, mode: str = "i
     """doc_id, score of every matching document."""
     found = (evaluate if mode == "intended" else evaluate_as_coded)(index, text)
     n, avgdl, df = _constants(index, [t for t, _ in found.terms])
-    rows = found.rows.join(index.docs.select("doc_id", "doc_len"), "doc_id")
-    length = F.col("doc_len")
+    rows, length = found.rows, F.coalesce("doc_len", F.lit(0))  # without any of the terms the length plays no part
     score = F.lit(0.0)
     for i, ((t, _), w) in enumerate(zip(found.terms, found.weights)):
         if t in df:
@@ -75,51 +74,60 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 
 
 def search(index: Index, text: str, k: int = 10, scorer: Scorer = bm25, mode: str = "intended", pagerank: DataFrame | None = None, blend: str = "log", weight: float = 1.0) -> DataFrame:
-    """rank, doc_id, title, score."""
+    """rank, doc_id, title, score. ``pagerank`` can be the index's own ``ranks``."""
     scores = score_matches(index, text, scorer, mode)
     best = top_k(scores if pagerank is None else blended(scores, pagerank, blend, weight), k)
     return best.join(index.docs.select("doc_id", "title"), "doc_id").select("rank", "doc_id", "title", "score")
 
 
+def open_result(index: Index, results: DataFrame, n: int) -> DataFrame:
+    """rank, doc_id, title, text of the n-th result (from 1); none beyond the last."""
+    return results.where(F.col("rank") == n).select("rank", "doc_id").join(index.docs.select("doc_id", "title", "text"), "doc_id").select("rank", "doc_id", "title", "text")
+
+
 def best_fields(index: Index, text: str, boosts: dict[str, float], k: int = 10) -> DataFrame:
     """rank, doc_id, score: the largest of the fields' boosted BM25 scores, of
-    documents with any of the words. Each field has its own df, length and average."""
+    documents with any of the words. Each field has its own df, length and average;
+    lengths come with the postings and totals with the corpus."""
     terms = [t for _, t in analyze_text(text, index.config)]
-    n = F.lit(float(index.corpus_stats.first()["n_docs"]))
-    fields = list(boosts)
-    lengths = index.postings.groupBy("doc_id", "field").agg(F.sum("tf").alias("field_len"))
-    average = {r["field"]: r["total"] for r in lengths.groupBy("field").agg(F.sum("field_len").alias("total")).collect()}  # a row for each field
-    hits = index.postings.where(F.col("term").isin(sorted(set(terms))) & F.col("field").isin(fields)).select("term", "field", "doc_id", "tf")
-    df = {(r["term"], r["field"]): r["df"] for r in hits.groupBy("term", "field").agg(F.count("*").alias("df")).collect()}  # terms x fields
-    total = F.lit(0.0)
-    for t in dict.fromkeys(terms):
-        for f in fields:
-            if (t, f) in df:
-                mine = (F.col("term") == t) & (F.col("field") == f)
-                avg = F.lit(float(average.get(f, 0))) / n
-                total = total + F.when(mine, terms.count(t) * bm25(F.col("tf").cast("double"), F.lit(float(df[t, f])), F.col("field_len"), n, avg)).otherwise(0.0)
-    wanted = lengths.where(F.col("field").isin(fields)).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    by_field = hits.join(wanted, ["doc_id", "field"]).groupBy("doc_id", "field").agg(F.sum(total).alias("score"))
-    boost = F.lit(0.0)
+    stats = index.corpus_stats.first()
+    n = F.lit(float(stats["n_docs"]))
+    hits = index.postings.where(F.col("term").isin(sorted(set(terms)))).select("term", "doc_id", "tf", "titled", "doc_len", "title_len")
+    fields = {
+        "title": (field_tf("title"), F.col("title_len"), stats["title_total"]),
+        "text": (field_tf("text"), F.col("doc_len") - F.col("title_len"), stats["total_len"] - stats["title_total"]),
+    }
+    df = {r["term"]: r for r in hits.groupBy("term").agg(*[F.count(F.when(tf > 0, 1)).alias(f) for f, (tf, _, _) in fields.items()]).collect()}  # the query's terms
+    scores = []
     for f, w in boosts.items():
-        boost = F.when(F.col("field") == f, w).otherwise(boost)
-    return top_k(by_field.groupBy("doc_id").agg(F.max(F.col("score") * boost).alias("score")), k)
+        tf, length, total = fields[f]
+        one = F.lit(0.0)
+        for t in dict.fromkeys(terms):
+            if t in df and df[t][f]:
+                one = F.when(F.col("term") == t, terms.count(t) * bm25(tf.cast("double"), F.lit(float(df[t][f])), length, n, F.lit(float(total)) / n)).otherwise(one)
+        scores.append((F.sum(one) * w).alias(f))
+    by_doc = hits.groupBy("doc_id").agg(F.lit(0.0).alias("_none"), *scores, F.max(F.greatest(*[fields[f][0] for f in boosts], F.lit(0))).alias("_hits")).where("_hits > 0")
+    return top_k(by_doc.select("doc_id", F.greatest("_none", *[F.col(f) for f in boosts]).alias("score")), k)
+
+
+def query_terms(queries: DataFrame, config: AnalyzerConfig) -> DataFrame:
+    """``queries`` (query_id, query) -> query_id, term, weight (how often), n_terms (different
+    ones), by the same rules as documents, as columns."""
+    text = F.coalesce("query", F.lit(""))
+    kept = kept_terms(text, config)
+    words = queries.select("query_id", F.explode(normalized(kept, text) if config.nfc else kept).alias("term")).where("term IS NOT NULL")
+    if config.stem:
+        words = words.select("query_id", stemmed(F.col("term")).alias("term"))
+    return words.groupBy("query_id", "term").agg(F.count("*").alias("weight")).withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
 
 
 def batch_search(index: Index, queries: DataFrame, k: int = 10, scorer: Scorer = bm25, pagerank: DataFrame | None = None, blend: str = "raw") -> DataFrame:
     """queries: query_id, query -> query_id, rank, doc_id, score of flat AND search
-    (no operators; dropped words vanish), all in one job. Query strings are
-    analyzed on the driver; they are a batch that a person or harness wrote."""
-    spark = queries.sparkSession
-    rows = []
-    for r in queries.select("query_id", "query").collect():
-        terms = [t for _, t in analyze_text(r["query"] or "", index.config)]
-        rows += [(r["query_id"], t, terms.count(t), len(set(terms))) for t in dict.fromkeys(terms)]
-    wanted = spark.createDataFrame(rows, "query_id long, term string, weight int, n_terms int")
-    stats = index.corpus_stats
-    hits = index.postings.groupBy("term", "doc_id").agg(F.sum("tf").cast("double").alias("tf")) if len(rows) > 2000 else index.postings.where(F.col("term").isin(sorted({r[1] for r in rows}))).groupBy("term", "doc_id").agg(F.sum("tf").cast("double").alias("tf"))
-    pairs = F.broadcast(wanted).join(hits, "term").join(index.term_stats.select("term", F.col("df").cast("double").alias("df")), "term")
-    scored = pairs.join(index.docs.select("doc_id", "doc_len"), "doc_id").join(F.broadcast(stats), F.lit(True))  # one row
+    (no operators; dropped words vanish), all in one job: one scan of the postings for
+    all queries. Which side of a join is broadcast is Spark's choice by size."""
+    wanted = query_terms(queries, index.config).join(index.term_stats.select("term", F.col("df").cast("double").alias("df")), "term")
+    hits = index.postings.select("term", "doc_id", F.col("tf").cast("double").alias("tf"), "doc_len")
+    scored = hits.join(wanted, "term").join(F.broadcast(index.corpus_stats), F.lit(True))  # one row
     one = F.col("weight") * scorer(F.col("tf"), F.col("df"), F.col("doc_len"), F.col("n_docs").cast("double"), F.col("avgdl"))
     by_doc = scored.groupBy("query_id", "doc_id").agg(F.sum(one).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms")).where("found = n_terms")
     if pagerank is not None:

@@ -7,27 +7,33 @@ titles). An index is built and written once for each session and directory.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaspark.functions import porter2
-from lexaspark.functions.analysis import AnalyzerConfig, analyzed, is_stopword, lowercase, normalized, tokenize
+from lexaspark.functions.analysis import AnalyzerConfig, is_stopword, lowercase, normalized, stems, tokenize
 from lexaspark.operators import index as I
 from lexaspark.operators import links, metrics, postings, ranking, snippets
 from lexaspark.plans import oracle as O
 from lexaspark.plans.evaluate import evaluate, evaluate_as_coded
 from lexaspark.sources import corpus, export, workspace
 
-CONFIG = AnalyzerConfig()
+CONFIG, STEMMED = AnalyzerConfig(), AnalyzerConfig(stem=True)
 AND, OR, NOT = "ha er th", "ha OR er OR th", "er NOT th"
 NESTED = '(ha OR th) er NOT (st AND re) "anea eriner"'
 PHRASE_2, PHRASE_3 = '"eriner thanea"', '"anea eriner thanea"'
 FIELDED = "title:th OR text:ha"
+#: As coded: a failed clause is skipped unless it is the first of an OR, and a phrase of three words matches nothing.
+NOT_AS_CODED, PHRASE_AS_CODED = "ha OR (er NOT th)", '"eriner thanea" OR "anea eriner thanea"'
+SEGMENT_AS_CODED = 'anea OR "eriner thanea"'
+STEMMED_AND, STEMMED_PHRASE = "haing erly reingly", '"haed erlying"'
 K = 10
-#: Tokens of a benchmark item that its query is made of, and that make a document relevant.
-QUERY_TOKENS, ITEM_TOKENS = 6, 8
+#: Tokens by whose hash documents that may hold an item are found, if all items have so many.
+KEY_TOKENS = 4
 
 _indexes: dict[tuple, I.Index] = {}
+_cases: dict[tuple, DataFrame] = {}
 
 
 def corpus_of(spark: SparkSession, sf_dir: str, kind: str = "documents") -> DataFrame:
@@ -35,15 +41,20 @@ def corpus_of(spark: SparkSession, sf_dir: str, kind: str = "documents") -> Data
 
 
 def index_of(spark: SparkSession, sf_dir: str, kind: str = "documents", config: AnalyzerConfig = CONFIG) -> I.Index:
-    """The written index of a corpus; built at the first call in an application."""
+    """The written index of a corpus, the linked one with its ranks; built at the first call in an application."""
     key = (spark.sparkContext.applicationId, sf_dir, kind, config)
     if key not in _indexes:
         path = workspace.new_path(spark, f"index_{kind}")
-        I.write_index(I.build_index(corpus_of(spark, sf_dir, kind), config), path)
+        built = I.build_index(corpus_of(spark, sf_dir, kind), config)
+        I.write_index(replace(built, ranks=_page_ranks(spark, sf_dir)) if kind == "pages" else built, path)
         _indexes[key] = I.read_index(spark, path)
     return _indexes[key]
 
 
+def tokens_of(spark: SparkSession, sf_dir: str, kind: str = "documents", config: AnalyzerConfig = CONFIG) -> DataFrame:
+    return I.tokens(I.forward(corpus_of(spark, sf_dir, kind), config), config)
+
+
 def joined(values, sep: str = " "):
     return F.array_join(F.transform(values, lambda x: x.cast("string")), sep)
 
@@ -60,7 +71,7 @@ def q_lowercase(spark, sf):
 
 
 def q_nfc(spark, sf):
-    terms = corpus_of(spark, sf).select(F.explode(normalized(tokenize(F.col("text")))).alias("term")).where(F.col("term").rlike(r"[^\x00-\x7F]"))
+    terms = corpus_of(spark, sf).select(F.explode(normalized(tokenize(F.col("text")), F.col("text"))).alias("term")).where(F.col("term").rlike(r"[^\x00-\x7F]"))
     return terms.groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -70,42 +81,35 @@ def q_stopwords(spark, sf):
 
 
 def q_analyze(spark, sf):
-    return I.tokens(corpus_of(spark, sf, "pages"), CONFIG)
+    return tokens_of(spark, sf, "pages").select("doc_id", F.when(F.col("in_title"), "title").otherwise("text").alias("field"), "pos", "term")
 
 
 def q_stem_vocab(spark, sf):
     """Stems of the vocabulary, each word stemmed once."""
-    words = corpus_of(spark, sf).select(F.explode(F.transform(tokenize(F.col("text")), lowercase)).alias("term")).distinct()
-
-    def run(batches):
-        for b in batches:
-            yield b.assign(stem=[porter2.stem(t) for t in b["term"]])
-
-    return words.mapInPandas(run, "term string, stem string")
+    return stems(corpus_of(spark, sf).select(F.explode(F.transform(tokenize(F.col("text")), lowercase)).alias("term")))
 
 
 def q_analyze_stemmed(spark, sf):
-    return corpus_of(spark, sf).select("doc_id", F.explode(analyzed(F.col("text"), AnalyzerConfig(stem=True))).alias("t")).groupBy(F.col("t.term").alias("term")).agg(F.count("*").alias("n"))
+    return tokens_of(spark, sf, config=STEMMED).groupBy("term").agg(F.count("*").alias("n"))
 
 
 # --- index
 
 
 def q_build_postings(spark, sf):
-    rows = I.build_postings(I.tokens(corpus_of(spark, sf), CONFIG))
-    return rows.select("term", "field", "doc_id", "tf", joined(F.col("positions")).alias("positions"))
+    return I.by_field(I.build_postings(tokens_of(spark, sf))).select("term", "field", "doc_id", "tf", joined(F.col("positions")).alias("positions"))
 
 
 def q_doc_lengths(spark, sf):
-    return I.doc_lengths(corpus_of(spark, sf), CONFIG).select("doc_id", "doc_len")
+    return I.doc_lengths(corpus_of(spark, sf), CONFIG).select("doc_id", F.col("doc_len").cast("long").alias("doc_len"))
 
 
 def q_doc_freq(spark, sf):
-    return I.term_stats(I.build_postings(I.tokens(corpus_of(spark, sf), CONFIG)))
+    return I.document_frequencies(tokens_of(spark, sf))
 
 
 def q_corpus_stats(spark, sf):
-    return I.corpus_stats(I.doc_lengths(corpus_of(spark, sf), CONFIG))
+    return I.corpus_stats(I.doc_lengths(corpus_of(spark, sf), CONFIG)).drop("title_total")
 
 
 def q_title_map(spark, sf):
@@ -123,15 +127,27 @@ def q_term_lookup(spark, sf):
 
 def q_open_doc(spark, sf):
     found = index_of(spark, sf)
-    return ranking.search(found, AND, K).join(found.docs.select("doc_id", "text", "doc_len"), "doc_id").select("rank", "doc_id", F.length("text").alias("n_chars"), "doc_len")
+    return ranking.search(found, AND, K).join(found.docs.select("doc_id", "text", "doc_len"), "doc_id").select("rank", "doc_id", F.length("text").alias("n_chars"), F.col("doc_len").cast("long").alias("doc_len"))
+
+
+def q_open_nth(spark, sf):
+    found = index_of(spark, sf)
+    return ranking.open_result(found, ranking.search(found, AND, K), 3).select("rank", "doc_id", F.length("text").alias("n_chars"))
 
 
 # --- boolean and phrase retrieval
 
 
-def _ids(text: str, kind: str = "documents", coded: bool = False):
+def _ids(text: str, kind: str = "documents", config: AnalyzerConfig = CONFIG):
     def run(spark, sf):
-        return (evaluate_as_coded if coded else evaluate)(index_of(spark, sf, kind), text).rows.select("doc_id")
+        return evaluate(index_of(spark, sf, kind, config), text).rows.select("doc_id")
+
+    return run
+
+
+def _ids_as_coded(text: str, segment: bool = False):
+    def run(spark, sf):
+        return evaluate_as_coded(index_of(spark, sf), text, segment).rows.select("doc_id", "tf")
 
     return run
 
@@ -162,9 +178,9 @@ def q_phrase_join(spark, sf):
 # --- ranking
 
 
-def _ranked(text: str, kind: str = "documents", **how):
+def _ranked(text: str, kind: str = "documents", config: AnalyzerConfig = CONFIG, **how):
     def run(spark, sf):
-        return ranking.search(index_of(spark, sf, kind), text, K, **how).select("rank", "doc_id", "score")
+        return ranking.search(index_of(spark, sf, kind, config), text, K, **how).select("rank", "doc_id", "score")
 
     return run
 
@@ -191,9 +207,20 @@ def q_pagerank(spark, sf):
     return _page_ranks(spark, sf).select("doc_id", F.round("score", 9).alias("score"))
 
 
+def q_title_links(spark, sf):
+    """Links that are exact titles; a link to a place without a document goes."""
+    return links.linked_titles(corpus.places_corpus(spark, sf))
+
+
+def q_title_pagerank(spark, sf):
+    places = corpus.places_corpus(spark, sf)
+    return links.pagerank(places, links.linked_titles(places)).select("doc_id", F.round("score", 9).alias("score"))
+
+
 def _blended(blend: str):
     def run(spark, sf):
-        return ranking.search(index_of(spark, sf, "pages"), OR, K, pagerank=_page_ranks(spark, sf), blend=blend).select("rank", "doc_id", "score")
+        found = index_of(spark, sf, "pages")
+        return ranking.search(found, OR, K, pagerank=found.ranks, blend=blend).select("rank", "doc_id", "score")
 
     return run
 
@@ -202,12 +229,17 @@ def q_best_fields(spark, sf):
     return ranking.best_fields(index_of(spark, sf, "pages"), "ha er th", {"title": 2.0, "text": 1.0}, K)
 
 
-def q_snippet_window(spark, sf):
-    found = index_of(spark, sf)
-    terms = AND.split()
-    best = ranking.search(found, AND, K).join(found.docs.select("doc_id", "text"), "doc_id")
-    start = snippets.window_start(F.col("text"), terms)
-    return best.select("rank", "doc_id", "text", start.cast("int").alias("start")).select("rank", "doc_id", "start", snippets.window_text(F.col("text"), F.col("start")).alias("snippet"))
+def _window(text: str, terms: list[str], config: AnalyzerConfig = CONFIG):
+    def run(spark, sf):
+        found = index_of(spark, sf, config=config)
+        best = ranking.search(found, text, K).join(found.docs.select("doc_id", "text"), "doc_id")
+        start = snippets.window_start(F.col("text"), terms, config)
+        return best.select("rank", "doc_id", "text", start.cast("int").alias("start")).select("rank", "doc_id", "start", snippets.window_text(F.col("text"), F.col("start")).alias("snippet"))
+
+    return run
+
+
+q_snippet_window = _window(AND, AND.split())
 
 
 def q_snippet(spark, sf):
@@ -218,13 +250,25 @@ def q_snippet(spark, sf):
 
 
 def _qrels(spark, sf):
-    """Known-item cases: the first tokens of a benchmark item, and the documents that hold them in a row."""
-    items = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), tokenize(F.coalesce("text", F.lit(""))).alias("ws"))
-    asked = items.select("query_id", F.array_join(F.slice("ws", 1, QUERY_TOKENS), " ").alias("query"), F.array_join(F.slice("ws", 1, ITEM_TOKENS), " ").alias("item"), (F.size("ws") >= ITEM_TOKENS).alias("whole"))
-    words = corpus_of(spark, sf).select("doc_id", tokenize(F.col("text")).alias("ws"))
-    runs = words.select("doc_id", F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - ITEM_TOKENS + 1)), lambda i: i + ITEM_TOKENS - 1 <= F.size("ws")), lambda i: F.array_join(F.slice("ws", i, ITEM_TOKENS), " "))).alias("item"))
-    holding = runs.join(asked.where("whole").select("query_id", "item"), "item").groupBy("query_id").agg(F.sort_array(F.collect_set(F.col("doc_id").cast("string"))).alias("relevant"))
-    return workspace.saved(asked.select("query_id", "query").join(holding, "query_id", "left").select("query_id", "query", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant")), "qrels")
+    """Known-item cases: a benchmark item is the query, and relevant are the documents that hold all its
+    tokens in a row. Saved once in an application.
+
+    Documents are found by the hash of an item's first tokens among the hashes of all their
+    runs of so many, and then compared with the whole item."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _cases:
+        items = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"), tokenize(F.coalesce("text", F.lit(""))).alias("ws"))
+        n = min(KEY_TOKENS, items.where(F.size("ws") > 0).agg(F.min(F.size("ws"))).first()[0] or 1)
+        hashed = lambda ws, at: F.xxhash64(F.slice(ws, at, F.lit(n)))
+        wanted = items.where(F.size("ws") > 0).select("query_id", hashed(F.col("ws"), F.lit(1)).alias("key"), F.array_join("ws", " ").alias("item"))
+        docs = corpus_of(spark, sf).select("doc_id", tokenize(F.col("text")).alias("ws"))
+        keys = docs.where(F.size("ws") >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - (n - 1)), lambda i: hashed(F.col("ws"), i)))).alias("key"))
+        near = workspace.saved(keys.join(wanted, "key").select("doc_id", "query_id", "item"), "qrels_near")
+        padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+        held = near.join(docs, "doc_id").where(F.contains(padded(F.array_join("ws", " ")), padded(F.col("item")))).select("query_id", F.col("doc_id").cast("string").alias("title"))
+        relevant = held.groupBy("query_id").agg(F.sort_array(F.collect_set("title")).alias("relevant"))
+        _cases[key] = workspace.saved(items.select("query_id", "query").join(relevant, "query_id", "left").select("query_id", "query", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant")), "qrels")
+    return _cases[key]
 
 
 def _results(spark, sf, qrels, scorer=ranking.bm25):
@@ -261,7 +305,7 @@ def q_compare_rankers(spark, sf):
 
 
 def q_bulk_ndjson(spark, sf):
-    return export.bulk_ndjson(corpus_of(spark, sf)).select("doc_id", "action", F.length("source").alias("source_len"))
+    return export.bulk_ndjson(corpus_of(spark, sf)).select("doc_id", "action", "source")
 
 
 def q_article_url(spark, sf):
@@ -284,6 +328,7 @@ QUERIES = {
     "segment_roundtrip": q_segment_roundtrip,
     "term_lookup": q_term_lookup,
     "open_doc": q_open_doc,
+    "open_nth": q_open_nth,
     "bool_and": _ids(AND),
     "bool_or": _ids(OR),
     "bool_not": _ids(NOT),
@@ -295,20 +340,26 @@ QUERIES = {
     "phrase_n": _ids(PHRASE_3),
     "phrase_join": q_phrase_join,
     "field_scope": _ids(FIELDED, "pages"),
-    "bool_not_as_coded": _ids(NOT, coded=True),
-    "phrase_n_as_coded": _ids(PHRASE_3, coded=True),
+    "phrase_stemmed": _ids(STEMMED_PHRASE, config=STEMMED),
+    "bool_not_as_coded": _ids_as_coded(NOT_AS_CODED),
+    "phrase_n_as_coded": _ids_as_coded(PHRASE_AS_CODED),
+    "phrase_segment_as_coded": _ids_as_coded(SEGMENT_AS_CODED, True),
     "bm25_and": _ranked(AND),
     "bm25_or": _ranked(OR),
+    "bm25_and_stemmed": _ranked(STEMMED_AND, config=STEMMED),
     "bm25_as_coded": _ranked(OR, mode="as_coded"),
     "tfidf": _ranked(OR, scorer=ranking.tfidf),
     "link_graph": q_link_graph,
     "dangling_nodes": q_dangling,
     "pagerank": q_pagerank,
+    "title_links": q_title_links,
+    "title_pagerank": q_title_pagerank,
     "bm25_pagerank": _blended("log"),
     "bm25_pagerank_raw": _blended("raw"),
     "bm25_best_fields": q_best_fields,
     "topk": q_topk,
     "snippet_window": q_snippet_window,
+    "snippet_window_stemmed": _window(STEMMED_AND, ["ha", "er", "re"], STEMMED),
     "snippet": q_snippet,
     "qrels": q_qrels,
     "precision_at_k": _metric("precision"),
@@ -333,7 +384,13 @@ tw AS (SELECT lower(unnest(regexp_extract_all(title, '[\p{{L}}\p{{Nd}}]+'))) AS
 tm AS (SELECT word, max(doc_id) AS doc_id FROM tw GROUP BY word),
 li AS (SELECT doc_id AS src, lower(unnest(links)) AS word FROM d),
 e AS (SELECT src, tm.doc_id AS dst FROM li JOIN tm ON tm.word = li.word)"""
-_PR = f"""{_EDGES},
+_TITLES = """
+p0 AS (SELECT n_nationkey + 100 AS doc_id, n_name AS title, [r_name, 'Nowhere'] AS links FROM nation JOIN region ON n_regionkey = r_regionkey),
+d AS (SELECT doc_id, title, links FROM p0 UNION ALL SELECT CAST(r_regionkey AS BIGINT), r_name, list(n_name ORDER BY n_name) FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL),
+tm AS (SELECT title, max(doc_id) AS doc_id FROM d GROUP BY title),
+li AS (SELECT doc_id AS src, unnest(links) AS title FROM d),
+e AS (SELECT src, tm.doc_id AS dst FROM li JOIN tm ON tm.title = li.title)"""
+_RANKS = """
 nn AS (SELECT count(*) AS nodes FROM d),
 o AS (SELECT src, count(*) AS out FROM e GROUP BY src),
 sh AS (SELECT e.src, e.dst, count(*) / any_value(o.out)::DOUBLE AS share FROM e JOIN o ON o.src = e.src GROUP BY e.src, e.dst),
@@ -346,11 +403,13 @@ pr(i, doc_id, score) AS (
   LEFT JOIN (SELECT dst, sum(score * share) AS given FROM pr JOIN sh ON sh.src = pr.doc_id GROUP BY dst) g ON g.dst = d.doc_id
   WHERE x.i < 30),
 ranks AS (SELECT doc_id, score FROM pr WHERE i = 30)"""
+_PR = f"{_EDGES}, {_RANKS}"
 _EVAL = rf"""
-it AS (SELECT item_id AS query_id, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{Nd}}]+') AS iw FROM benchmark),
-rw AS (SELECT doc_id, array_to_string(ws[g:g + {ITEM_TOKENS - 1}], ' ') AS item FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - {ITEM_TOKENS - 1})) AS g FROM w WHERE len(ws) >= {ITEM_TOKENS})),
-rel AS (SELECT DISTINCT query_id, doc_id FROM it JOIN rw ON len(iw) >= {ITEM_TOKENS} AND rw.item = array_to_string(iw[1:{ITEM_TOKENS}], ' ')),
-qa AS (SELECT query_id, lower(nfc_normalize(unnest(iw[1:{QUERY_TOKENS}]))) AS term FROM it),
+it AS (SELECT item_id AS query_id, coalesce(text, '') AS query, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{Nd}}]+') AS iw FROM benchmark),
+ij AS (SELECT query_id, ' ' || array_to_string(iw, ' ') || ' ' AS item FROM it WHERE len(iw) > 0),
+wj AS (SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS words FROM w),
+rel AS (SELECT query_id, doc_id FROM ij JOIN wj ON contains(words, item)),
+qa AS (SELECT query_id, lower(nfc_normalize(unnest(iw))) AS term FROM it),
 qt AS (SELECT query_id, term, count(*) AS weight FROM qa WHERE term NOT IN ({O.STOP}) GROUP BY query_id, term),
 qn AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY query_id),
 sc(which, query_id, doc_id, score) AS (
@@ -375,6 +434,33 @@ fs AS (SELECT fp.doc_id, fp.field, sum({O.IDF} * (fp.tf * 2.2 / (fp.tf + 1.2 * (
        FROM fp JOIN fd ON fd.term = fp.term AND fd.field = fp.field JOIN fl ON fl.doc_id = fp.doc_id AND fl.field = fp.field JOIN fa ON fa.field = fp.field, cs
        WHERE fp.term IN ('ha', 'er', 'th') GROUP BY fp.doc_id, fp.field),
 s AS (SELECT doc_id, max(score * CASE WHEN field = 'title' THEN 2 ELSE 1 END) AS score FROM fs GROUP BY doc_id)"""
+# The words of the tables that have the stems of the stemmed queries.
+STEMS = {
+    "ha": "ha haing haed haedly haingly",
+    "er": "er erly erlying erlyed erlyedly erlyingly",
+    "re": "re reing reingly",
+}
+_STEM_OF = "CASE " + " ".join("WHEN term IN (" + ", ".join(f"'{w}'" for w in ws.split()) + f") THEN '{t}'" for t, ws in STEMS.items()) + " ELSE '' END"
+_STEMMED = O.index().replace("k AS (SELECT * FROM t", f"k AS (SELECT doc_id, field, pos, {_STEM_OF} AS term FROM t")
+_STEM_TOP = f"{_STEMMED}, {O.scored(list(STEMS), ' AND '.join(f'tf_{i} > 0' for i in range(3)))}, b AS {O.top(K)}"
+
+
+def _window_sql(top: str, words: str) -> str:
+    return rf"""{top},
+sw AS (SELECT rank, b.doc_id, d.text, regexp_extract_all(d.text, '[\p{{L}}\p{{Nd}}]+') AS ws, regexp_extract_all(d.text, '[\p{{L}}\p{{Nd}}]+[^\p{{L}}\p{{Nd}}]*') AS pieces FROM b JOIN d ON d.doc_id = b.doc_id),
+sh AS (SELECT *, list_transform(ws, lambda x: CASE WHEN lower(x) IN ({words}) THEN 1 ELSE 0 END) AS h FROM sw),
+sn AS (SELECT *, list_transform(generate_series(1, len(h)), lambda i: coalesce(list_sum(h[i:i + {snippets.window_words() - 1}]), 0)) AS c FROM sh),
+ss AS (SELECT *, list_position(c, list_max(c)) - 1 AS start FROM sn),
+sz AS (SELECT rank, doc_id, CAST(start AS INTEGER) AS start, regexp_replace(array_to_string(pieces[start + 1:start + {snippets.window_words()}], ''), '[^\p{{L}}\p{{Nd}}]+$', '') AS snippet FROM ss)"""
+
+
+_SLUG = "replace(title, ' ', '_')"
+_URL = f"url_encode({_SLUG})"
+for _form, _path in export.PATH_SAFE.items():
+    _URL = f"replace({_URL}, '{_form}', '{_path}')" if _form != "+" else _URL
+_JSON = "coalesce(text, '')"
+for _c, _escape in [("\\", "\\\\"), ('"', '\\"'), *[(chr(i), {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(i, f"\\u{i:04X}")) for i in range(32)]]:
+    _JSON = f"replace({_JSON}, chr({ord(_c)}), '{_escape}')"
 _PAGE_SCORES = O.scored(_T, _ANY)
 _TOP = f"{O.index()}, {O.scored(_T, _ALL)}, b AS {O.top(K)}"
 
@@ -403,8 +489,14 @@ ORACLE_SQL = {
     "phrase_n": f"{_LISTS} SELECT x.doc_id FROM a_5 x JOIN a_6 y ON x.doc_id = y.doc_id JOIN a_7 z ON x.doc_id = z.doc_id WHERE len(list_intersect(list_intersect(list_transform(x.positions, lambda p: p + 1), y.positions), list_transform(z.positions, lambda p: p - 1))) > 0",
     "phrase_join": f"{_LISTS} SELECT doc_id, CAST(1 AS BIGINT) AS tf FROM ({_NEXT})",
     "field_scope": f"WITH {O.PAGES}, {O.TOKENS} SELECT DISTINCT doc_id FROM k WHERE (term = 'th' AND field = 'title') OR (term = 'ha' AND field = 'text')",
-    "bool_not_as_coded": "SELECT doc_id FROM documents WHERE false",
-    "phrase_n_as_coded": "SELECT doc_id FROM documents WHERE false",
+    "bool_not_as_coded": f"{_LISTS} SELECT doc_id, tf FROM a_0",
+    "phrase_n_as_coded": f"{_LISTS} SELECT doc_id, CAST(1 AS BIGINT) AS tf FROM ({_NEXT})",
+    "phrase_segment_as_coded": f"{_LISTS} SELECT doc_id, tf FROM a_5",
+    "phrase_stemmed": f"{_STEMMED} SELECT x.doc_id FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.term = 'ha' AND y.term = 'er' WHERE len(list_intersect(list_transform(x.positions, lambda q: q + 1), y.positions)) > 0",
+    "bm25_and_stemmed": f"{_STEM_TOP} SELECT * FROM b",
+    "title_links": f"WITH {_TITLES} SELECT src, dst FROM e",
+    "title_pagerank": f"WITH RECURSIVE {_TITLES}, {_RANKS} SELECT doc_id, round(score, 9) AS score FROM ranks",
+    "open_nth": f"{_TOP} SELECT rank, b.doc_id, CAST(length(d.text) AS INTEGER) AS n_chars FROM b JOIN d ON d.doc_id = b.doc_id WHERE rank = 3",
     "bm25_and": f"{O.index()}, {O.scored(_T, _ALL)} SELECT * FROM {O.top(K)}",
     "bm25_or": f"{O.index()}, {O.scored(_T, _ANY)} SELECT * FROM {O.top(K)}",
     "bm25_as_coded": f"{O.index()}, c AS (SELECT doc_id, sum(tf) AS ctf FROM p WHERE term IN ('ha', 'er', 'th') GROUP BY doc_id), i AS (SELECT sum({O.IDF}) AS idf FROM df, cs WHERE term IN ('ha', 'er', 'th')), s AS (SELECT c.doc_id, idf * {O.norm('ctf')} AS score FROM c JOIN dl ON dl.doc_id = c.doc_id, i, cs) SELECT * FROM {O.top(K)}",
@@ -416,18 +508,15 @@ ORACLE_SQL = {
     "bm25_pagerank_raw": f"{O.index(O.PAGES)}, {_PR}, {_PAGE_SCORES}, z AS (SELECT s.doc_id, s.score + ranks.score AS score FROM s JOIN ranks ON ranks.doc_id = s.doc_id) SELECT * FROM {O.top(K, 'z')}",
     "bm25_best_fields": f"{O.index(O.PAGES)}, {_FIELDS} SELECT * FROM {O.top(K)}",
     "topk": f"{O.index()}, {_EVAL} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM rk WHERE which = 'a'",
-    "snippet_window": rf"""{_TOP},
-sw AS (SELECT rank, b.doc_id, d.text, regexp_extract_all(d.text, '[\p{{L}}\p{{Nd}}]+') AS ws, regexp_extract_all(d.text, '[\p{{L}}\p{{Nd}}]+[^\p{{L}}\p{{Nd}}]*') AS pieces FROM b JOIN d ON d.doc_id = b.doc_id),
-sh AS (SELECT *, list_transform(ws, lambda x: CASE WHEN lower(x) IN ('ha', 'er', 'th') THEN 1 ELSE 0 END) AS h FROM sw),
-sn AS (SELECT *, list_transform(generate_series(1, len(h)), lambda i: coalesce(list_sum(h[i:i + {snippets.window_words() - 1}]), 0)) AS c FROM sh),
-ss AS (SELECT *, list_position(c, list_max(c)) - 1 AS start FROM sn)
-SELECT rank, doc_id, CAST(start AS INTEGER) AS start, regexp_replace(array_to_string(pieces[start + 1:start + {snippets.window_words()}], ''), '[^\p{{L}}\p{{Nd}}]+$', '') AS snippet FROM ss""",
-    "qrels": f"{O.index()}, {_EVAL} SELECT query_id, array_to_string(iw[1:{QUERY_TOKENS}], ' ') AS query, CAST(coalesce(n_rel, 0) AS INTEGER) AS n_relevant FROM it LEFT JOIN nr USING (query_id)",
+    "snippet_window": f"{_window_sql(_TOP, ', '.join(repr(t) for t in _T))} SELECT * FROM sz",
+    "snippet_window_stemmed": f"{_window_sql(_STEM_TOP, ', '.join(repr(w) for ws in STEMS.values() for w in ws.split()))} SELECT * FROM sz",
+    "snippet": f"{_window_sql(_TOP, ', '.join(repr(t) for t in _T))} SELECT rank, doc_id, replace(replace(regexp_replace(snippet, '(?i)({'|'.join(sorted(_T, key=lambda t: (-len(t), t)))})', '<1>\\1<0>', 'g'), '<1>', chr(27) || '[1m'), '<0>', chr(27) || '[0m') AS snippet FROM sz",
+    "qrels": f"{O.index()}, {_EVAL} SELECT query_id, query, CAST(coalesce(n_rel, 0) AS INTEGER) AS n_relevant FROM it LEFT JOIN nr USING (query_id)",
     "precision_at_k": f"{O.index()}, {_EVAL} SELECT query_id, CAST(round(precision, 9) AS DOUBLE) AS precision FROM mt WHERE which = 'a'",
     "mrr": f"{O.index()}, {_EVAL} SELECT query_id, CAST(round(mrr, 9) AS DOUBLE) AS mrr FROM mt WHERE which = 'a'",
     "ndcg_at_k": f"{O.index()}, {_EVAL} SELECT query_id, CAST(round(ndcg, 9) AS DOUBLE) AS ndcg FROM mt WHERE which = 'a'",
     "eval_summary": f"{O.index()}, {_EVAL} SELECT count(*) AS cases, round(CAST(avg(precision) AS DOUBLE), 9) AS precision, round(CAST(avg(mrr) AS DOUBLE), 9) AS mrr, round(CAST(avg(ndcg) AS DOUBLE), 9) AS ndcg FROM mt WHERE which = 'a'",
     "compare_rankers": f"{O.index()}, {_EVAL} SELECT a.query_id, CAST(round(a.ndcg, 9) AS DOUBLE) AS ndcg_a, CAST(round(b.ndcg, 9) AS DOUBLE) AS ndcg_b, CASE WHEN a.ndcg - b.ndcg > 0.01 THEN 'a' WHEN a.ndcg - b.ndcg < -0.01 THEN 'b' ELSE 'tie' END AS winner FROM mt a JOIN mt b ON a.query_id = b.query_id AND a.which = 'a' AND b.which = 'b'",
-    "bulk_ndjson": r"""WITH f AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[\x00-\x09\x0b-\x1f\x7f-\x{9f}\x{2028}\x{2029}]'))
-SELECT doc_id, '{"index":{"_id":"' || doc_id || '"}}' AS action, CAST(length('{"text":"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') || '","title":""}') AS INTEGER) AS source_len FROM f""",
+    "bulk_ndjson": f"""SELECT doc_id, '{{"index":{{"_id":"' || doc_id || '"}}}}' AS action, '{{"text":"' || {_JSON} || '","title":""}}' AS source FROM documents""",
+    "article_url": f"WITH {O.PAGES} SELECT doc_id, 'https://example.org/wiki/' || {_URL} AS url FROM d",
 }

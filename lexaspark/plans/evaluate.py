@@ -11,7 +11,7 @@ clause costs a join. Two named semantics:
   unknown or dropped words fail their clause; a failed clause empties an AND, and
   an OR if it is the first; only a word's first token counts; phrases of three
   and more kept words match nothing; fields are ignored; scoring takes the sum of
-  the clauses' frequencies for every term.
+  the clauses' frequencies for every term. On a written index no phrase of two kept words matches.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexaspark.functions.analysis import analyze_text
-from lexaspark.operators.index import Index
+from lexaspark.operators.index import Index, field_positions, field_tf
 from lexaspark.operators.postings import phrase_positions, shifted
 from lexaspark.plans import query as Q
 
@@ -87,18 +87,19 @@ def matches(tree, has: Callable[[Leaf], object], both=lambda a, b: a & b, either
 
 
 def _gathered(index: Index, tf: dict, positions: dict) -> DataFrame:
-    """doc_id and, for each wanted (term, field), its frequency and positions."""
+    """doc_id, doc_len and, for each wanted (term, field), its frequency and positions."""
     terms = sorted({t for t, _ in [*tf, *positions]})
-    of = lambda t, f: (F.col("term") == t) & (F.lit(True) if f is None else F.col("field") == f)
-    columns = [F.coalesce(F.sum(F.when(of(t, f), F.col("tf"))), F.lit(0)).alias(name) for (t, f), name in tf.items()]
-    columns += [F.array_sort(F.flatten(F.collect_list(F.when(of(t, f), F.col("positions"))))).alias(name) for (t, f), name in positions.items()]
-    needed = ["term", "field", "doc_id", "tf"] + ["positions"] * bool(positions)  # positions are read for phrases alone
-    return index.postings.where(F.col("term").isin(terms)).select(*needed).groupBy("doc_id").agg(*columns)
+    of = lambda t: F.col("term") == t
+    columns = [F.coalesce(F.sum(F.when(of(t), field_tf(f))), F.lit(0)).alias(name) for (t, f), name in tf.items()]
+    columns += [F.first(F.when(of(t), field_positions(f)), ignorenulls=True).alias(name) for (t, f), name in positions.items()]  # a document has a row for a term
+    needed = ["term", "doc_id", "tf", "titled", "doc_len"] + ["positions"] * bool(positions)  # positions are read for phrases alone
+    return index.postings.where(F.col("term").isin(terms)).select(*needed).groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"), *columns)
 
 
 @dataclass(frozen=True)
 class Evaluated:
-    """Matching documents (doc_id, tf_0, tf_1, ...) and the terms of those columns."""
+    """Matching documents (doc_id, doc_len, tf_0, tf_1, ...) and the terms of those columns.
+    The length is null where a document has none of the terms."""
 
     rows: DataFrame
     terms: list[tuple[str, str | None]]
@@ -107,7 +108,7 @@ class Evaluated:
 
 
 def no_documents(index: Index) -> DataFrame:
-    return index.docs.select("doc_id").where(F.lit(False))
+    return index.docs.select("doc_id", "doc_len").where(F.lit(False))
 
 
 def evaluate(index: Index, text: str) -> Evaluated:
@@ -135,12 +136,13 @@ def evaluate(index: Index, text: str) -> Evaluated:
     gathered = _gathered(index, tf, positions)
     if matches(tree, lambda leaf: False, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a):
         gathered = index.docs.select("doc_id").join(gathered, "doc_id", "left")  # documents without any of the terms can match
-    rows = gathered.where(matches(tree, has)).select("doc_id", *[F.coalesce(F.col(tf[t]), F.lit(0)).alias(f"tf_{i}") for i, t in enumerate(terms)])
+    rows = gathered.where(matches(tree, has)).select("doc_id", "doc_len", *[F.coalesce(F.col(tf[t]), F.lit(0)).alias(f"tf_{i}") for i, t in enumerate(terms)])
     return Evaluated(rows, terms, [wanted.count(t) for t in terms])
 
 
-def evaluate_as_coded(index: Index, text: str) -> Evaluated:
-    """The documents that match as coded, with the summed frequency."""
+def evaluate_as_coded(index: Index, text: str, segment: bool = False) -> Evaluated:
+    """The documents that match as coded, with the summed frequency. A ``segment`` keeps no
+    positions, so that no phrase of two kept words matches on it."""
     tree = Q.parse(text)
     analyze = lambda w: [t for _, t in analyze_text(w, index.config)]
 
@@ -175,7 +177,7 @@ def evaluate_as_coded(index: Index, text: str) -> Evaluated:
                 return None
             if len(kept) == 1:
                 return frequency(kept[0][1]) > 0, frequency(kept[0][1])
-            if len(kept) > 2:
+            if segment or len(kept) > 2:
                 return F.lit(False), F.lit(0).cast("long")
             (_, a), (gap, b) = kept
             return F.arrays_overlap(places(a), shifted(places(b), gap)), F.lit(1).cast("long")
@@ -212,5 +214,5 @@ def evaluate_as_coded(index: Index, text: str) -> Evaluated:
     if found is None:
         return Evaluated(no_documents(index).withColumn("tf", F.lit(0).cast("long")), [], [], True)
     rows = _gathered(index, tf, positions) if tf or positions else no_documents(index)
-    rows = rows.where(found[0]).select("doc_id", found[1].alias("tf"))
+    rows = rows.where(found[0]).select("doc_id", "doc_len", found[1].alias("tf"))
     return Evaluated(rows, terms, [wanted.count(t) for t, _ in terms], True)

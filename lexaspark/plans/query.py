@@ -11,7 +11,9 @@ A quote that isn't closed runs to the end and so does a group.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
+from functools import partial
 
 
 class QueryError(ValueError):
@@ -49,86 +51,81 @@ class Or:
     children: tuple
 
 
+#: Blanks, or a sign, or a quoted phrase, or a word.
+SCAN = re.compile(r'[ \t]+|(?P<sign>[():])|"(?P<phrase>[^"]*)"?|(?P<word>[^ \t():"]+)')
+OPERATORS = {"AND", "OR", "NOT"}
+
+
 def lex(text: str) -> list[tuple[str, str]]:
     """(kind, text) tokens; kinds: ( ) : AND OR NOT PHRASE WORD."""
-    out, i = [], 0
-    while i < len(text):
-        c = text[i]
-        if c in " \t":
-            i += 1
-        elif c in "():":
-            out.append((c, c))
-            i += 1
-        elif c == '"':
-            end = text.find('"', i + 1)
-            end = len(text) if end < 0 else end
-            out.append(("PHRASE", text[i + 1 : end]))
-            i = end + 1
-        else:
-            end = i
-            while end < len(text) and text[end] not in ' \t():"':
-                end += 1
-            word = text[i:end]
-            out.append((word.upper() if word.upper() in ("AND", "OR", "NOT") else "WORD", word))
-            i = end
+    out = []
+    for m in SCAN.finditer(text):
+        if m["sign"]:
+            out.append((m["sign"], m["sign"]))
+        elif m["word"]:
+            out.append((m["word"].upper() if m["word"].upper() in OPERATORS else "WORD", m["word"]))
+        elif m["phrase"] is not None:
+            out.append(("PHRASE", m["phrase"]))
     return out
 
 
-class _Parser:
-    def __init__(self, tokens: list[tuple[str, str]]):
-        self.tokens, self.at = tokens, 0
+@dataclass
+class _Group:
+    """An open group: its alternatives, each a list of what must all match, and what waits
+    for the next operand (a NOT, a field, or the group's own prefixes outside of it)."""
 
-    def kind(self) -> str | None:
-        return self.tokens[self.at][0] if self.at < len(self.tokens) else None
+    alternatives: list[list] = field(default_factory=lambda: [[]])
+    waiting: list = field(default_factory=list)
+    joined: bool = False  # an AND has been read since the last operand
 
-    def take(self) -> tuple[str, str]:
-        if self.at >= len(self.tokens):
-            raise QueryError("the query ends where a term is expected")
-        self.at += 1
-        return self.tokens[self.at - 1]
-
-    def expr(self):
-        parts = [self.term()]
-        while self.kind() == "OR":
-            self.take()
-            parts.append(self.term())
-        return parts[0] if len(parts) == 1 else Or(tuple(parts))
-
-    def term(self):
-        parts = []
-        while True:
-            if self.kind() == "AND":  # one AND joins, or leads or trails to no effect; a second one is a word
-                self.take()
-            if self.kind() in (None, "OR", ")"):
-                break
-            parts.append(self.factor())
-        return parts[0] if len(parts) == 1 else And(tuple(parts))
-
-    def factor(self):
-        if self.kind() == "NOT":
-            self.take()
-            return Not(self.atom())
-        return self.atom()
-
-    def atom(self):
-        kind, text = self.take()
-        if kind == "(":
-            inner = self.expr()
-            if self.kind() == ")":
-                self.take()
-            return inner
-        if kind == "PHRASE":
-            return Phrase(tuple(text.split()))
-        if kind == "WORD" and self.kind() == ":":
-            self.take()
-            return Field(text, self.atom())
-        return Term(text)
+    def add(self, operand) -> None:
+        while self.waiting:
+            operand = self.waiting.pop()(operand)
+        self.alternatives[-1].append(operand)
+        self.joined = False
+
+    def tree(self):
+        each = [a[0] if len(a) == 1 else And(tuple(a)) for a in self.alternatives]
+        return each[0] if len(each) == 1 else Or(tuple(each))
 
 
 def parse(text: str):
-    """The tree of a query; QueryError for leftovers and missing operands."""
-    p = _Parser(lex(text))
-    tree = p.expr()
-    if p.at < len(p.tokens):
-        raise QueryError(f"unexpected {p.tokens[p.at][1]!r}")
-    return tree
+    """The tree of a query; QueryError for leftovers and missing operands.
+
+    One pass over the tokens with a stack of open groups. After NOT and after a
+    field's colon any token but an opening one is an operand. One AND joins, or leads or trails to no effect; a second
+    one is a word.
+    """
+    tokens, groups, at = lex(text), [_Group()], 0
+    while at < len(tokens):
+        (kind, word), now = tokens[at], groups[-1]
+        at += 1
+        bare = not now.waiting
+        if kind == "(":
+            groups.append(_Group())
+        elif kind == "PHRASE":
+            now.add(Phrase(tuple(word.split())))
+        elif kind == "WORD" and tokens[at : at + 1] == [(":", ":")]:
+            now.waiting.append(partial(Field, word))
+            at += 1
+        elif bare and kind == "NOT":
+            now.waiting.append(Not)
+        elif bare and kind == "OR":
+            now.alternatives.append([])
+            now.joined = False
+        elif bare and kind == "AND" and not now.joined:
+            now.joined = True
+        elif bare and kind == ")":
+            if len(groups) == 1:
+                raise QueryError(f"unexpected {word!r}")
+            groups.pop()
+            groups[-1].add(now.tree())
+        else:
+            now.add(Term(word))
+    while True:
+        if groups[-1].waiting:
+            raise QueryError("the query ends where a term is expected")
+        last = groups.pop()
+        if not groups:
+            return last.tree()
+        groups[-1].add(last.tree())

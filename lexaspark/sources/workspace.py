@@ -1,7 +1,8 @@
 """The folder for tables that a job writes and reads again.
 
 It is the one that ``spark.checkpoint.dir`` names, which all executors and the
-driver share; a temporary folder is made only where the session names none.
+driver share. A temporary folder is made only on a local master whose session names none;
+on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="lexaspark-")

@@ -12,21 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexaspark.functions.analysis import AnalyzerConfig
-from lexaspark.operators.index import Index, build_postings, corpus_stats, doc_lengths, term_stats, tokens
+from lexaspark.operators.index import FORWARD, Index, build_postings, corpus_stats, forward, term_stats, tokens
 
 
 def index_stream(docs: DataFrame, path: str, config: AnalyzerConfig = AnalyzerConfig(), **trigger) -> StreamingQuery:
     """Starts indexing a stream of doc_id, title, text, links."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        doc_lengths(batch, config).write.mode("overwrite").parquet(f"{path}/docs/segment={batch_id}")
-        build_postings(tokens(batch, config)).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/segment={batch_id}")
+        to = f"{path}/docs/segment={batch_id}"
+        forward(batch, config).write.mode("overwrite").parquet(to)
+        build_postings(tokens(batch.sparkSession.read.parquet(to), config)).write.mode("overwrite").parquet(f"{path}/postings/segment={batch_id}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/progress").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_segments(spark: SparkSession, path: str, config: AnalyzerConfig = AnalyzerConfig()) -> Index:
-    docs = spark.read.parquet(f"{path}/docs").drop("segment")
+    docs = spark.read.parquet(f"{path}/docs").drop("segment", *FORWARD)
     postings = spark.read.parquet(f"{path}/postings").drop("segment")
     return Index(docs, postings, term_stats(postings), corpus_stats(docs), config)
 

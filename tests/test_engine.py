@@ -1,14 +1,16 @@
+import bz2
 import gzip
 import json
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lexaspark.functions.analysis import AnalyzerConfig
 from lexaspark.operators import index as I
 from lexaspark.operators import links, metrics, ranking, snippets
-from lexaspark.sources import corpus, export
+from lexaspark.sources import corpus, export, workspace
 from lexaspark.plans import catalog
 from lexaspark.streaming import incremental
 
@@ -31,6 +33,62 @@ def test_build_and_round_trip(spark, tmp_path):
     assert read.corpus_stats.first()["n_docs"] == 3
 
 
+def test_ranks_are_kept_with_the_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    I.write_index(I.build_index(docs_of(spark, ARTICLES)), path)
+    assert I.read_index(spark, path).ranks is None
+    I.write_ranks(spark.createDataFrame([(2, 5.0)], "doc_id long, score double"), path)
+    index = I.read_index(spark, path)
+    assert [tuple(r) for r in index.ranks.collect()] == [(2, 5.0)]
+    assert ranking.search(index, "living", 1, pagerank=index.ranks).first()["doc_id"] == 2
+    spark.createDataFrame([(1,)], "other int").write.mode("overwrite").parquet(f"{path}/ranks")
+    with pytest.warns(UserWarning, match="can't be read"):
+        assert I.read_index(spark, path).ranks is None
+
+
+def test_fields_and_letters_that_nfc_changes(spark):
+    """Fields from one posting, a term in both; Kelvin, Ohm and Hangul letters beside documents without any."""
+    rows = [(0, "wind and wind", "the wind of \u212belsinki"), (1, "", "\u1112\u1161\u11ab \u2126"), (2, "plain", "wind")]
+    index = I.build_index(docs_of(spark, rows))
+    got = {(r["term"], r["field"], r["doc_id"]): (r["tf"], r["positions"]) for r in I.by_field(index.postings).collect()}
+    assert got["wind", "title", 0] == (2, [0, 2]) and got["wind", "text", 0] == (1, [4]) and got["wind", "text", 2] == (1, [1])
+    assert ("\u00e5elsinki", "text", 0) in got and ("\ud55c", "text", 1) in got and ("\u03c9", "text", 1) in got
+    lengths = {r["doc_id"]: (r["doc_len"], r["title_len"]) for r in index.docs.collect()}
+    assert lengths == {0: (4, 2), 1: (2, 0), 2: (2, 1)}
+
+
+def test_stems_of_documents_and_queries_agree(spark):
+    index = I.build_index(docs_of(spark, [(0, "", "Running dogs had been quickly running"), (1, "", "a dog ran")]), AnalyzerConfig(stem=True))
+    at = {r["term"]: r["positions"] for r in index.postings.where("doc_id = 0").collect()}
+    assert at == {"run": [0, 5], "dog": [1], "been": [3], "quick": [4]}  # a word of the stemmer's own list stays
+    assert sorted(r["doc_id"] for r in ranking.search(index, "dogs").collect()) == [0, 1]
+    queries = spark.createDataFrame([(7, "the running DOG"), (8, None), (9, "unknown dogs")], "query_id long, query string")
+    assert [(r["query_id"], r["doc_id"]) for r in ranking.batch_search(index, queries).collect()] == [(7, 0)]
+
+
+def test_nth_result(spark):
+    index = I.build_index(docs_of(spark, ARTICLES))
+    found = ranking.search(index, "photosynthesis")
+    assert ranking.open_result(index, found, 2).first()["doc_id"] == [r["doc_id"] for r in found.orderBy("rank").collect()][1]
+    assert ranking.open_result(index, found, 9).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "x"
+            getConf = staticmethod(Conf)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        workspace.shared_dir(Session)
+
+
 def test_empty_documents_count(spark):
     stats = I.build_index(docs_of(spark, [(0, "", ""), (1, "", "the"), (2, "x", "y z")])).corpus_stats.first()
     assert (stats["n_docs"], stats["total_len"]) == (3, 3)
@@ -46,11 +104,29 @@ def test_dump(spark, tmp_path):
         f.write("\n".join(lines) + "\n")
     rows = corpus.read_dump(spark, str(tmp_path / "dump.json.gz")).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["title"], r["links"]) for r in rows] == [(0, "Photosynthesis", ["Plant"]), (1, "Plant", ["Photosynthesis"])]
-    (tmp_path / "bad.json").write_text("{}\nnot json\n")
-    with pytest.raises(Exception):
+    (tmp_path / "bad.json").write_text("{}\n{}\n{}\nnot json\n")
+    with pytest.raises(Exception, match="line 4 is not a JSON article"):
         corpus.read_dump(spark, str(tmp_path / "bad.json")).collect()
 
 
+def test_dump_in_splits(spark, tmp_path):
+    """Plain and bzip2 files, read in many splits, and several files of one dump; ids count on."""
+    articles = [json.dumps({"title": f"T{i}", "text": "word " * (i % 7)}) for i in range(3000)]
+    whole = "".join(f"{{}}\n{a}\n" for a in articles)
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain/a.json").write_text(whole)
+    (tmp_path / "plain/b.json").write_text("{}\n" + json.dumps({"title": "last"}) + "\n")
+    (tmp_path / "dump.json.bz2").write_bytes(bz2.compress(whole.encode(), 1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = {r["doc_id"]: r["title"] for r in corpus.read_dump(spark, str(tmp_path / "plain")).collect()}
+        packed = {r["doc_id"]: r["title"] for r in corpus.read_dump(spark, str(tmp_path / "dump.json.bz2")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == {i: f"T{i}" for i in range(3000)} | {3000: "last"}
+    assert packed == {i: f"T{i}" for i in range(3000)}
+
+
 def test_qrels(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps([{"query": "a b", "relevant": ["A"]}, {"query": "c"}]))
     assert [tuple(r) for r in corpus.read_qrels(spark, str(tmp_path / "q.json")).orderBy("query_id").collect()] == [(0, "a b", ["A"]), (1, "c", [])]
@@ -79,9 +155,7 @@ def test_search(spark):
 
 
 @pytest.mark.parametrize("edges, n, want", [([(0, 1), (0, 2), (1, 2)], 3, [0.197579649, 0.281551, 0.52086935]), ([(0, 1)], 2, [0.350877193, 0.649122807]), ([(0, 1), (1, 0), (2, 0), (2, 1)], 3, [0.475, 0.475, 0.05]), ([(0, 1), (0, 9), (1, 0)], 2, None)])
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_pagerank(spark, monkeypatch, edges, n, want, small):
-    monkeypatch.setattr(links, "SMALL_GRAPH", small)
+def test_pagerank(spark, edges, n, want):
     nodes = spark.range(n).withColumnRenamed("id", "doc_id")
     rows = links.pagerank(nodes, spark.createDataFrame(edges, "src long, dst long")).orderBy("doc_id").collect()
     if want is None:  # a link to an unknown node takes its share and gives it to none
@@ -144,10 +218,11 @@ def test_stream(spark, tmp_path):
 
 
 def test_bulk_export_has_every_document(spark, tmp_path):
-    texts = ["plain", "tab\there", "a\r\nb", "\x01\x0b\x7f\x85", "line and ", 'q"\\', None, "\x00"]
+    texts = ["plain", "tab\there", "a\r\nb", "\x01\x0b\x7f\x85", "line\u2028and\u2029", 'q"\\', None, "\x00", "\b\f\x1f"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["source_len"] for r in catalog.QUERIES["bulk_ndjson"](spark, str(tmp_path)).collect()}
-    sources = {r["doc_id"]: r["source"] for r in export.bulk_ndjson(catalog.corpus_of(spark, str(tmp_path))).collect()}
-    assert got == {i: len(s) for i, s in sources.items()} and len(got) == len(texts)
+    got = {r["doc_id"]: (r["action"], r["source"]) for r in catalog.QUERIES["bulk_ndjson"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == {i: (a, s) for i, a, s in con.sql(catalog.ORACLE_SQL["bulk_ndjson"]).fetchall()} and len(got) == len(texts)
     for i, text in enumerate(texts):
-        assert json.loads(sources[i]) == {"text": text or "", "title": ""} and not set("\n\r") & set(sources[i])
+        assert json.loads(got[i][1]) == {"text": text or "", "title": ""} and not set("\n\r") & set(got[i][1])

@@ -26,6 +26,10 @@ def test_atoms():
     assert Q.parse("AND AND") == Q.Term("AND")
     assert Q.parse("(a b") == Q.And((Q.Term("a"), Q.Term("b")))
     assert Q.parse("") == Q.And(())
+    assert Q.parse("a AND AND b") == Q.And((Q.Term("a"), Q.Term("AND"), Q.Term("b")))
+    assert Q.parse("NOT NOT a") == Q.And((Q.Not(Q.Term("NOT")), Q.Term("a")))
+    assert Q.parse("title:(a OR text:b) OR") == Q.Or((Q.Field("title", Q.Or((Q.Term("a"), Q.Field("text", Q.Term("b"))))), Q.And(())))
+    assert Q.parse("NOT ) :") == Q.And((Q.Not(Q.Term(")")), Q.Term(":")))
 
 
 @pytest.mark.parametrize("text", ["a )", "foo NOT", "title:"])
@@ -64,7 +68,7 @@ def corpus(spark):
     rows = [(i, " ".join(rnd.choices(WORDS, k=rnd.randint(0, 2))), " ".join(rnd.choices(WORDS + ["the"], k=rnd.randint(0, 9)))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, title string, text string").withColumn("links", F.array().cast("array<string>"))
     found = I.build_index(docs)
-    return rows, I.Index(docs.join(I.doc_lengths(docs, found.config).select("doc_id", "doc_len"), "doc_id"), found.postings.cache(), found.term_stats, found.corpus_stats, found.config)
+    return rows, I.Index(found.docs.cache(), found.postings.cache(), found.term_stats, found.corpus_stats, found.config)
 
 
 def _tree(rnd, depth):
@@ -118,3 +122,5 @@ def test_as_coded(corpus):
     assert got("alpha OR unknown") == [(r[0], count(r, "alpha")) for r in rows if count(r, "alpha")]
     assert got("alpha beta") == [(r[0], count(r, "alpha") + count(r, "beta")) for r in rows if count(r, "alpha") and count(r, "beta")]
     assert got("title:alpha") == got("alpha")
+    assert got('alpha OR "beta gamma"') != [] and evaluate_as_coded(index, '"beta gamma"', segment=True).rows.count() == 0 < evaluate_as_coded(index, '"beta gamma"').rows.count()
+    assert sorted(r["doc_id"] for r in evaluate_as_coded(index, 'alpha OR "beta gamma"', segment=True).rows.collect()) == [i for i, _ in got("alpha")]

@@ -180,7 +180,7 @@ def same(df, columns, rows):
 
 
 def test_licenses_by_sql(spark, odd, nothing):
-    more = [(20, "MIT license mit LICENSE"), (21, "mit  license; the Apache\nLicense"), (22, "general public the license"), (23, "Licensed under the GNU General Public License, version 3."), (24, "xmit license mit licenses"), (25, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), (26, "Licensed under CC BY-NC 4.0."), (27, "GNU"), (28, "GENERAL PUBLIC LICENSE" * 3)]
+    more = [(20, "MIT license mit LICENSE"), (21, "mit  license; the Apache\nLicense"), (22, "general public the license"), (23, "Licensed under the GNU General Public License, version 3."), (24, "xmit license mit licenses"), (25, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), (26, "Licensed under CC BY-NC 4.0."), (27, "GNU"), (29, "Copyright. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."), (40, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"), (28, "GENERAL PUBLIC LICENSE" * 3)]
     docs = docs_of(spark, more).unionByName(odd)
     got = licenses.scan_licenses(docs)
     same(got, *by_sql("op8_license_scan", docs))
@@ -188,6 +188,7 @@ def test_licenses_by_sql(spark, odd, nothing):
     assert (at[20]["n_base"], at[20]["first_word"], at[20]["last_word"], at[20]["base_labels"]) == (2, 0, 2, "mit")
     assert at[21]["base_labels"] == "apache,mit" and at[22]["n_base"] == at[24]["n_base"] == 0
     assert at[23]["labels"] == "gpl,gpl-3.0" and at[25]["labels"] == "mit" and at[25]["base_labels"] == "" and at[26]["labels"] == "cc-by-nc-4.0"
+    assert at[29]["labels"] == "bsd" and at[29]["base_labels"] == "" and at[40]["labels"] == "gpl" and at[40]["n_base"] == 1
     assert at[5]["n_base"] == 12000 and licenses.scan_licenses(nothing).count() == 0
 
 

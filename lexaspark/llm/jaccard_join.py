@@ -9,7 +9,9 @@ compared in tiles. Independent runs raise the recall to its target. Classes that
 may be similar by their signatures form neighbourhoods (a node gives each member
 one link, never all pairs), and every neighbourhood is joined exactly, in tiles,
 on the whole sets: so within it no link is lost, and a group of a thousand near
-copies costs a row for each copy and tile, not for each pair.
+copies costs a row for each copy and tile, not for each pair. A large neighbourhood
+is cut by the sets' sizes first: a set meets tiles of its own size band and the
+two beside it alone, as sets farther apart can't be similar.
 """
 
 from __future__ import annotations
@@ -175,6 +177,22 @@ def _tiled(members: DataFrame, group: str, small: int) -> DataFrame:
     return out.select(F.xxhash64(group, F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), side.alias("side"), "sid")
 
 
+def _banded(members: DataFrame, small: int, similarity: float) -> DataFrame:
+    """members: root, sid, n, members -> tile, side, sid, as ``_tiled``. A neighbourhood above ``small``
+    is cut into bands whose sizes grow by 1 / similarity, and bands into chunks of about
+    TILE; a member goes to the tiles that pair its chunk with those of bands beside its own."""
+    band = F.when(F.col("members") <= small, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity) + 1e-9)).cast("int")
+    placed = members.withColumn("band", band)
+    sizes = placed.groupBy("root", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("m"))
+    sizes = sizes.join(members.groupBy("root").agg(F.first("members").alias("members")), "root").select("root", "band", F.when(F.col("members") <= small, 1).otherwise(F.col("m")).alias("m"))
+    sizes = C.saved(sizes, "size_bands")
+    beside = sizes.select("root", "band", "m", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("other")).join(sizes.select("root", F.col("band").alias("other"), F.col("m").alias("chunks")), ["root", "other"])
+    out = placed.select("root", "sid", "band").join(beside, ["root", "band"]).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    own, with_ = F.struct(F.col("band"), F.col("chunk")), F.struct(F.col("other").alias("band"), F.col("with").alias("chunk"))
+    side = F.when(own == with_, 2).when(own < with_, 0).otherwise(1).cast("int")
+    return out.select(F.xxhash64("root", F.least(own, with_), F.greatest(own, with_)).alias("tile"), side.alias("side"), "sid")
+
+
 def candidates(classes: DataFrame) -> DataFrame:
     """classes: sid, n, sig, sig8 -> a, b: distinct links that connect the classes
     which chosen paths bring together and whose signatures may be similar."""
@@ -286,8 +304,8 @@ def jaccard_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Data
     ids = F.broadcast(ids) if at.count() <= BROADCAST_IDS else ids
     texts = docs.select("doc_id", "text").join(ids, F.expr("doc_id <=> _id"), "left_semi")
     sets = C.saved(_grams_of(texts).join(at.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")), "candidate_sets")
-    sized = members.join(members.groupBy("root").agg(F.count("*").alias("members")), "root")
-    tiles = _tiled(sized, "root", TILE).join(sets, "sid").select("tile", "side", "sid", "grams")
+    sized = members.join(members.groupBy("root").agg(F.count("*").alias("members")), "root").join(classes.select("sid", "n"), "sid")
+    tiles = _banded(sized, TILE, similarity).join(sets, "sid").select("tile", "side", "sid", "grams")
     found = C.saved(_joined(tiles.repartition("tile").sortWithinPartitions("tile"), similarity).where("n_links > 0"), "tile_links")
     roots = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("sid").agg(F.sum("n_links").alias("n_links")).join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -324,7 +342,8 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their class:
-    the one with the class's id, once. Wordless rows stay."""
+    the one with the class's id, once. Null, empty and wordless rows stay; of repeated rows one
+    stays, and of a class without ids one; an empty table stays empty."""
     base, links = jaccard_links(docs, similarity)
     table = _set_classes(base, links).select(F.col("sid").alias("_set"), "class_id", "stands")
     small = table.count() <= BROADCAST_IDS
@@ -347,4 +366,5 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``jaccard_classes`` of all ``documents``."""
     return jaccard_classes(C.table(spark, sf_dir, "documents")).drop("set_id")

@@ -62,8 +62,9 @@ def test_all_links_of_the_documents(spark, documents):
 
 
 def test_a_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "TILE", 48)  # so that the group takes several tiles
-    rows = list(enumerate(near_copies(220) + near_copies(30, seed=6) + ["alone in the world with no copy at all"]))
+    monkeypatch.setattr(jaccard_join, "TILE", 48)  # so that the group takes several tiles and bands of sizes
+    grown = [" ".join(t.split() + [f"x{i}y{j}" for j in range(i % 40)]) for i, t in enumerate(near_copies(60, 70, 9))]
+    rows = list(enumerate(near_copies(160) + grown + near_copies(30, seed=6) + ["alone in the world with no copy at all"]))
     assert taken(jaccard_join.jaccard_classes(docs_of(spark, rows))) == brute(rows)
 
 

@@ -5,6 +5,9 @@ The index itself is Parquet, whose encodings play this part.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def encode(value: int) -> bytes:
     """Unsigned LEB128: seven bits a byte, the lowest first, the top bit set on all but the last."""
@@ -27,6 +30,14 @@ def decode(data: bytes, at: int = 0) -> tuple[int, int]:
     return 0, -1
 
 
+def length(value: Column) -> Column:
+    """Bytes of the varint of a column's value."""
+    out = F.lit(9)
+    for n in range(8, 0, -1):
+        out = F.when(value < 1 << 7 * n, n).otherwise(out)
+    return out
+
+
 def encode_postings(entries: list[tuple[int, int]]) -> bytes:
     """(doc_id, tf) in ascending doc_id order: their number, then gaps and frequencies."""
     out, last = [encode(len(entries))], 0

@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexaspark.functions import varint
 from lexaspark.functions.analysis import AnalyzerConfig, _nfc_udf, has_changed_letters, kept_terms, stems, tokenize
 
 POSTINGS = "term string, doc_id long, tf long, titled int, doc_len int, title_len int, positions array<int>"
@@ -197,6 +198,14 @@ def by_field(postings: DataFrame) -> DataFrame:
     return postings.select("term", "doc_id", F.explode(F.filter(each, lambda x: x["tf"] > 0)).alias("x")).select("term", "x.field", "doc_id", "x.tf", "x.positions")
 
 
+def posting_bytes(postings: DataFrame) -> DataFrame:
+    """postings, bytes, bytes_per_posting if lists were coded as varints of gaps and frequencies:
+    a size report, one row. A term's list is walked in order, so a task holds a list at most."""
+    gap = F.col("doc_id") - F.coalesce(F.lag("doc_id").over(Window.partitionBy("term").orderBy("doc_id")), F.lit(0))
+    each = postings.select("term", (varint.length(gap) + varint.length(F.col("tf"))).cast("long").alias("b")).groupBy("term").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    return each.agg(F.sum("n").alias("postings"), F.sum(F.col("b") + varint.length(F.col("n"))).alias("bytes")).withColumn("bytes_per_posting", F.round(F.col("bytes") / F.col("postings"), 6))
+
+
 def title_map(docs: DataFrame) -> DataFrame:
     """title -> doc_id; of equal titles the last document wins."""
     return docs.groupBy("title").agg(F.max("doc_id").alias("doc_id"))

@@ -121,6 +121,10 @@ def q_segment_roundtrip(spark, sf):
     return found.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)).alias("pos_sum"))
 
 
+def q_posting_bytes(spark, sf):
+    return I.posting_bytes(index_of(spark, sf).postings)
+
+
 def q_term_lookup(spark, sf):
     return I.lookup(index_of(spark, sf), "er").select("doc_id", "tf", joined(F.col("positions")).alias("positions"))
 
@@ -326,6 +330,7 @@ QUERIES = {
     "corpus_stats": q_corpus_stats,
     "title_map": q_title_map,
     "segment_roundtrip": q_segment_roundtrip,
+    "posting_bytes": q_posting_bytes,
     "term_lookup": q_term_lookup,
     "open_doc": q_open_doc,
     "open_nth": q_open_nth,
@@ -454,6 +459,10 @@ ss AS (SELECT *, list_position(c, list_max(c)) - 1 AS start FROM sn),
 sz AS (SELECT rank, doc_id, CAST(start AS INTEGER) AS start, regexp_replace(array_to_string(pieces[start + 1:start + {snippets.window_words()}], ''), '[^\p{{L}}\p{{Nd}}]+$', '') AS snippet FROM ss)"""
 
 
+def _varint_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN {x} < {1 << 7 * n} THEN {n}" for n in range(1, 9)) + " ELSE 9 END"
+
+
 _SLUG = "replace(title, ' ', '_')"
 _URL = f"url_encode({_SLUG})"
 for _form, _path in export.PATH_SAFE.items():
@@ -476,6 +485,7 @@ ORACLE_SQL = {
     "corpus_stats": f"{O.index()} SELECT n AS n_docs, CAST(total AS BIGINT) AS total_len, avgdl FROM cs",
     "title_map": f"WITH {O.PAGES} SELECT title, max(doc_id) AS doc_id FROM d GROUP BY title",
     "segment_roundtrip": f"{_WORDS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, CAST(sum(pos) AS BIGINT) AS pos_sum FROM k GROUP BY term",
+    "posting_bytes": f"{O.index()}, gp AS (SELECT term, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap, tf FROM p), bt AS (SELECT term, count(*) AS n, sum({_varint_sql('gap')} + {_varint_sql('tf')}) AS b FROM gp GROUP BY term) SELECT CAST(sum(n) AS BIGINT) AS postings, CAST(sum(b + {_varint_sql('n')}) AS BIGINT) AS bytes, round(sum(b + {_varint_sql('n')}) / CAST(sum(n) AS DOUBLE), 6) AS bytes_per_posting FROM bt",
     "term_lookup": f"{_WORDS} SELECT doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM k WHERE term = 'er' GROUP BY doc_id",
     "open_doc": f"{_TOP} SELECT rank, b.doc_id, CAST(length(d.text) AS INTEGER) AS n_chars, dl AS doc_len FROM b JOIN d ON d.doc_id = b.doc_id JOIN dl ON dl.doc_id = b.doc_id",
     "bool_and": f"{_LISTS} SELECT doc_id FROM a_0 INTERSECT SELECT doc_id FROM a_1 INTERSECT SELECT doc_id FROM a_2",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexaspark.functions.analysis import AnalyzerConfig
 from lexaspark.operators import index as I
-from lexaspark.operators import links, metrics, ranking, snippets
+from lexaspark.operators import external, links, metrics, ranking, snippets
 from lexaspark.sources import corpus, export, workspace
 from lexaspark.plans import catalog
 from lexaspark.streaming import incremental
@@ -138,6 +138,15 @@ def test_bm25(spark, tf, df, length, want):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_an_external_ranker_finds_the_same(spark):
+    if not external.available():
+        pytest.skip("SQLite without FTS5")
+    found = external.fts5_search(ARTICLES, ["living AND photosynthesis", "process", '"', "nothing"])
+    assert sorted(found[0]) == [1, 2] and found[1] == [0] and found[2] == found[3] == []
+    index = I.build_index(docs_of(spark, ARTICLES))
+    assert sorted(r["doc_id"] for r in ranking.search(index, "living AND photosynthesis").collect()) == sorted(found[0])
+
+
 def test_tfidf(spark):
     score = lambda tf, df: spark.range(1).select(ranking.tfidf(*(F.lit(float(x)) for x in (tf, df, 50, 1000, 100)))).first()[0]
     assert score(3, 50) == pytest.approx(6.286881, abs=1e-6) and score(0, 50) == 0

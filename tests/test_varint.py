@@ -22,3 +22,17 @@ def test_truncated():
 def test_round_trip(found):
     entries = sorted(found.items())
     assert varint.decode_postings(varint.encode_postings(entries)) == entries
+
+
+def test_lengths_and_report(spark):
+    from pyspark.sql import functions as F
+
+    from lexaspark.functions import varint
+    from lexaspark.operators.index import posting_bytes
+
+    values = [0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**55, 2**62]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(varint.length(F.col("v"))).collect()]
+    assert got == [len(varint.encode(v)) for v in values]
+    lists = {"a": [(3, 1), (200, 300), (201, 2)], "b": [(0, 5)]}
+    rows = spark.createDataFrame([(t, d, n) for t, ps in lists.items() for d, n in ps], "term string, doc_id long, tf long")
+    assert posting_bytes(rows).first()["bytes"] == sum(len(varint.encode_postings(ps)) for ps in lists.values())

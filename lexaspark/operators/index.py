@@ -110,12 +110,13 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 POSTING_NAMES = [x.split()[0] for x in POSTINGS.split(", ")]
 
 
-def build_postings(token_rows: DataFrame) -> DataFrame:
-    """Postings sorted by term and document, by one range shuffle of the tokens; a frequent
-    term can be in several partitions."""
+def build_postings(token_rows: DataFrame, by_range: bool = False) -> DataFrame:
+    """Postings, sorted by term and document within partitions, by one shuffle of the tokens; a
+    frequent term can be in several partitions. ``by_range`` sorts them over all partitions, for a
+    written index; it reads the tokens once more to find the ranges."""
     kind = token_rows.schema["doc_id"].dataType.simpleString()
-    ranged = token_rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos")
-    return ranged.select("term", "doc_id", "pos", "in_title", "doc_len", "title_len").mapInArrow(_grouped, POSTINGS.replace("doc_id long", f"doc_id {kind}"))
+    dealt = token_rows.repartitionByRange("term", "doc_id") if by_range else token_rows.repartition("term", "doc_id")
+    return dealt.sortWithinPartitions("term", "doc_id", "pos").select("term", "doc_id", "pos", "in_title", "doc_len", "title_len").mapInArrow(_grouped, POSTINGS.replace("doc_id long", f"doc_id {kind}"))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def write_index(index: Index, path: str) -> None:
     index.docs.write.option("compression", "zstd").parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
     if set(FORWARD) <= set(docs.columns):
-        postings = build_postings(tokens(docs, index.config))
+        postings = build_postings(tokens(docs, index.config), by_range=True)
     else:
         postings = index.postings.select(*POSTING_NAMES).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     postings.write.option("compression", "zstd").parquet(f"{path}/postings")

@@ -288,6 +288,8 @@ class Page:
         runs of children of one shape are one child, and text counts for nothing."""
         below: list[bytes] = [b""] * len(self.nodes)
         for n in reversed(self.nodes):
+            if n.tag not in BLOCKS and n.at:  # no block's shape asks for it
+                continue
             kinds: list[bytes] = []
             for c in n.children:
                 if isinstance(c, Node) and c.tag in BLOCKS and (not kinds or kinds[-1] != below[c.at]):
@@ -301,9 +303,9 @@ class Page:
             if self.gone[k] and k:
                 k = n.end
                 continue
-            for c in n.children:
-                if isinstance(c, Node):
-                    path[c.at] = _digest(path[k] + self._label(n))
+            inner = [c.at for c in n.children if isinstance(c, Node)]
+            if inner:
+                path.update(dict.fromkeys(inner, _digest(path[k] + self._label(n))))
             k += 1
         return out
 
